@@ -507,8 +507,3 @@ def column_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         pairs += [F.lit(c), as_text(ref(c), field_type(df, c))]
     long = df.select(F.stack(F.lit(len(columns)), *pairs).alias("column", "value"))
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def semi_join_labels(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Rows whose label is in a (size-checked) label table."""
-    return df.join(broadcast_if_small(labels), column, "left_semi")

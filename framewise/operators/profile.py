@@ -503,7 +503,3 @@ def pick_date_column(df: DataFrame) -> DataFrame:
         (F.col("parse_rate") >= 0.8) & (F.col("parsed") >= 2) & (F.col("span_days") > 1)
     )
     return fit.orderBy("position").limit(1).select("column", "parse_rate", "span_days")
-
-
-def target_pairs(df: DataFrame, target: str) -> DataFrame:
-    return correlations(df, [(target, c) for c in numeric_columns(df, exclude=[target])])

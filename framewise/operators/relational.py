@@ -303,13 +303,3 @@ def scatter_sample(
     r = points.agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("_n"))
     r = r.select(F.when(F.col("_n") >= 3, F.round("r", 3)).alias("r"))
     return points.crossJoin(F.broadcast(r))
-
-
-def numeric_kind(df: DataFrame, column: str) -> str:
-    """float, integer, text or other, as the schema tells."""
-    dtype = field_type(df, column)
-    if is_float(dtype):
-        return "float"
-    if is_integer(dtype):
-        return "integer"
-    return "text" if is_text(dtype) else "other"

@@ -21,7 +21,7 @@ from framewise.functions.columns import (
     require_numeric,
 )
 from framewise.functions.quantiles import weighted_median
-from framewise.functions.scale import is_small, row_positions, with_halo
+from framewise.functions.scale import row_positions, with_halo
 from framewise.operators.profile import day_gaps
 
 MAX_POINTS = 500
@@ -73,9 +73,7 @@ def _trailing_mean(rows: DataFrame, value: str, window: int, key: Sequence[str]
         Window.partitionBy(*_columns(key), "_chunk").orderBy("_pos").rowsBetween(-(width - 1), 0)
     )
     # The window holds at most ``width`` values; the last ``span`` of them count.
-    recent = F.slice(
-        F.collect_list(F.struct(ref(value).cast("double").alias("v"))).over(trailing), -width, width
-    )
+    recent = F.collect_list(F.struct(ref(value).cast("double").alias("v"))).over(trailing)
     with_recent = chunked.withColumn("_w", recent).where("_own")
     used = F.filter(
         F.transform(
@@ -370,7 +368,3 @@ def daily_totals(df: DataFrame, date: str, value: str, agg: str = "sum") -> Data
     fn = {"sum": F.sum, "mean": F.avg, "count": F.count}[agg]
     t = parse_timestamp(ref(date), field_type(df, date))
     return df.groupBy(F.to_date(t).alias(date)).agg(fn(ref(value)).alias(value))
-
-
-def series_is_small(df: DataFrame) -> bool:
-    return is_small(df)
