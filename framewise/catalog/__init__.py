@@ -1,0 +1,14 @@
+"""Registered queries with their SQL counterparts."""
+
+from framewise.catalog import (  # noqa: F401  (each module registers its queries)
+    grouping,
+    models,
+    monitoring,
+    preparation,
+    profiling,
+    relational,
+    series,
+)
+from framewise.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

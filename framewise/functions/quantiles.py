@@ -74,8 +74,10 @@ def _select_ranks(
     )
     spans = []
     for i, p in enumerate(probabilities.values()):
-        low = F.col("_min") if p - margin <= 0 else F.col("_e")[2 * i]
-        high = F.col("_max") if p + margin >= 1 else F.col("_e")[2 * i + 1]
+        # A few ranks of slack must lie inside the margin; a smaller group is its own bracket.
+        whole = F.col("_n") < F.lit(SKETCH_ACCURACY)
+        low = F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i])
+        high = F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
         rank = (F.col("_n") - 1) * F.lit(float(p))
         spans.append(
             F.struct(

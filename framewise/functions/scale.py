@@ -19,8 +19,7 @@ SMALL_INPUT_BYTES = 64 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the result size, None when it has none."""
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:  # a remote session exposes no plan: treat the size as unknown
         return None
 

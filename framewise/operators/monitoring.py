@@ -203,8 +203,8 @@ def drift(deployments: DataFrame, log: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def feedback_accuracy(deployments: DataFrame, feedback: DataFrame, log: DataFrame) -> DataFrame:
-    """Error (regression) or accuracy (classification) of each deployment's predictions by its feedback."""
+def _feedback_facts(deployments: DataFrame, feedback: DataFrame, log: DataFrame) -> DataFrame:
+    """Unrounded error (regression) and accuracy (classification) of each deployment by its feedback."""
     kinds = deployments.select(
         F.col("id").alias("deployment_id"),
         F.coalesce("problem_type", F.lit("regression")).alias("problem_type"),
@@ -222,31 +222,42 @@ def feedback_accuracy(deployments: DataFrame, feedback: DataFrame, log: DataFram
         F.avg("actual_value").alias("_avg"),
     )
     rows = kinds.join(totals, "deployment_id", "left").join(pairs, "deployment_id", "left")
+    rows = rows.na.fill(
+        0, ["total_feedback", "actual_values", "correct_count", "incorrect_count", "paired_count"]
+    )
     regression = F.col("problem_type") == "regression"
     rated = F.col("correct_count") + F.col("incorrect_count")
-    n_pairs = F.coalesce("paired_count", F.lit(0))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
-            "_pct": F.when(regression & (n_pairs > 0), F.col("_mae") / (F.abs("_avg") + 1e-9) * 100),
+            "rated_count": rated,
+            "_pct": F.when(
+                regression & (F.col("paired_count") > 0), F.col("_mae") / (F.abs("_avg") + 1e-9) * 100
+            ),
             "_acc": F.when(~regression & (rated > 0), F.col("correct_count") / rated),
         }
     )
+
+
+def feedback_accuracy(deployments: DataFrame, feedback: DataFrame, log: DataFrame) -> DataFrame:
+    """Error (regression) or accuracy (classification) of each deployment's predictions by its feedback."""
+    rows = _feedback_facts(deployments, feedback, log)
+    regression = F.col("problem_type") == "regression"
     status = (
-        F.when(F.coalesce("total_feedback", F.lit(0)) == 0, "no_feedback")
+        F.when(F.col("total_feedback") == 0, "no_feedback")
         .when(F.col("_pct").isNull() & F.col("_acc").isNull(), "feedback_only")
         .otherwise("computed")
     )
     verdict = F.coalesce(
         ladder_below(F.col("_pct"), ERROR_STEPS, "poor"), ladder(F.col("_acc"), ACCURACY_STEPS, "poor")
     )
-    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_feedback", "actual_values")]
     return rows.select(
         "deployment_id",
         "problem_type",
         status.alias("status"),
-        *counted,
-        F.when(regression, n_pairs).alias("paired_count"),
-        F.when(~regression, F.coalesce(rated, F.lit(0))).alias("rated_count"),
+        "total_feedback",
+        "actual_values",
+        F.when(regression, F.col("paired_count")).alias("paired_count"),
+        F.when(~regression, F.col("rated_count")).alias("rated_count"),
         F.when(regression, F.round("_mae", 4)).alias("mae"),
         F.round("_pct", 2).alias("pct_error"),
         F.when(regression, F.round("_avg", 4)).alias("avg_actual"),
@@ -313,7 +324,7 @@ def model_health(deployments: DataFrame, log: DataFrame, feedback: DataFrame, as
 def alerts(deployments: DataFrame, log: DataFrame, feedback: DataFrame, as_of: str) -> DataFrame:
     """Alerts (deployment_id, algorithm, severity, type, value) of the active deployments, critical first."""
     active = deployments.where(F.col("is_active"))
-    named = active.select(F.col("id").alias("deployment_id"), "algorithm", "problem_type")
+    named = active.select(F.col("id").alias("deployment_id"), "algorithm")
 
     def rows(source: DataFrame, kind: str, critical: Column, value: Column) -> DataFrame:
         return source.select(
@@ -337,17 +348,17 @@ def alerts(deployments: DataFrame, log: DataFrame, feedback: DataFrame, as_of: s
     idle = rows(unused, "no_predictions", F.lit(False), F.col("deployed"))
 
     moved = drift(active, log).where(F.col("drift_score") >= 60).join(
-        named.select("deployment_id", "algorithm"), "deployment_id"
+        named, "deployment_id"
     )
     drifted = rows(moved, "drift_detected", F.col("drift_score") >= 80, F.col("drift_score"))
 
-    judged = feedback_accuracy(active, feedback, log).join(
-        named.select("deployment_id", "algorithm"), "deployment_id"
+    judged = _feedback_facts(active, feedback, log).join(
+        named, "deployment_id"
     )
-    wrong = judged.where((F.col("rated_count") >= 3) & (F.col("accuracy") < 0.7))
-    poor_class = rows(wrong, "poor_feedback", F.col("accuracy") < 0.5, F.col("accuracy"))
-    far = judged.where((F.col("actual_values") >= 3) & (F.col("pct_error") > 30))
-    poor_number = rows(far, "poor_feedback", F.col("pct_error") > 50, F.col("pct_error"))
+    wrong = judged.where((F.col("rated_count") >= 3) & (F.col("_acc") < 0.7))
+    poor_class = rows(wrong, "poor_feedback", F.col("_acc") < 0.5, F.col("_acc"))
+    far = judged.where((F.col("actual_values") >= 3) & (F.col("_pct") > 30))
+    poor_number = rows(far, "poor_feedback", F.col("_pct") > 50, F.col("_pct"))
 
     found = stale.unionByName(idle).unionByName(drifted).unionByName(poor_class).unionByName(poor_number)
     return found.orderBy(F.col("severity") == "warning", "deployment_id", "type")
