@@ -94,20 +94,20 @@ register(
     SELECT strftime(d, '%Y-%m-%d') AS o_orderdate, v AS o_totalprice, round(m * i + b, 4) AS trend FROM p, l""",
 )
 
-_POINTS = """WITH p AS (SELECT o_orderdate, o_totalprice / 1000 AS o_totalprice, o_custkey,
+_POINTS = """WITH p AS (SELECT o_orderdate, sqrt(o_totalprice) AS o_totalprice, o_custkey,
     row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
   s AS (SELECT *, CASE WHEN n > 500 THEN n // 500 ELSE 1 END AS step FROM p),
   k AS (SELECT o_orderdate, o_totalprice, o_custkey, i // step AS j FROM s WHERE i % step = 0) """
 
 
-def _thousands(t: Tables):
-    return t.orders.withColumn("o_totalprice", F.col("o_totalprice") / 1000)
+def _roots(t: Tables):
+    return t.orders.withColumn("o_totalprice", F.sqrt("o_totalprice"))
 
 
 register(
     "timeseries",
     lambda t: _day_text(
-        timeseries.timeseries(_thousands(t), "o_orderdate", "o_totalprice", tie_break=["o_orderkey"]),
+        timeseries.timeseries(_roots(t), "o_orderdate", "o_totalprice", tie_break=["o_orderkey"]),
         "o_orderdate",
     ),
     _POINTS
@@ -121,7 +121,7 @@ register(
     "overlay",
     lambda t: _day_text(
         timeseries.overlay(
-            _thousands(t), "o_orderdate", ["o_totalprice", "o_custkey"], tie_break=["o_orderkey"]
+            _roots(t), "o_orderdate", ["o_totalprice", "o_custkey"], tie_break=["o_orderkey"]
         ),
         "o_orderdate",
     ),

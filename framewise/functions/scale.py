@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_INPUT_CONF = "framewise.smallInputBytes"
+SMALL_INPUT_CONF = "spark.framewise.smallInputBytes"
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 

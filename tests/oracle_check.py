@@ -71,7 +71,7 @@ def main(parts: list[str]) -> int:
     from framewise.session import local_session
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    conf = {"framewise.smallInputBytes": "0"} if os.environ.get("LARGE") else {}
+    conf = {"spark.framewise.smallInputBytes": "0"} if os.environ.get("LARGE") else {}
     spark = local_session(os.environ.get("CPUS", "8"), **conf)
     con = connect(folder)
     bad = 0
