@@ -271,7 +271,7 @@ def _join_sides(t: Tables):
         F.col("o_orderstatus").alias("nation"),
     )
     right = t.customer.select(
-        F.when(F.col("c_custkey") % 100 != 1, F.col("c_custkey")).alias("custkey"),
+        F.nullif("c_custkey", F.lit(1)).alias("custkey"),
         "c_name",
         F.col("c_nationkey").alias("nation"),
     )
@@ -280,7 +280,7 @@ def _join_sides(t: Tables):
 
 JOIN_SQL = """WITH l AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS custkey,
     o_orderstatus AS nation FROM orders),
-  r AS (SELECT CASE WHEN c_custkey % 100 <> 1 THEN c_custkey END AS custkey, c_name, c_nationkey AS nation
+  r AS (SELECT nullif(c_custkey, 1) AS custkey, c_name, c_nationkey AS nation
     FROM customer)
   SELECT o_orderkey, {key} AS custkey, l.nation AS nation_left, c_name, r.nation AS nation_right
   FROM l {how} JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey"""

@@ -1,9 +1,9 @@
-"""Exact interpolated percentiles without holding a group in one task.
+"""Exact interpolated percentiles without a value map per group.
 
-Spark's ``percentile`` keeps a value -> count map per group in one aggregation buffer. That is the quickest
-plan while the input is small. Beyond the size check the same numbers come from a selection in four
-aggregations: a mergeable sketch brackets each wanted rank, one scan counts the rows below the bracket and
-histograms the bracket, and only the values of the histogram cells that hold the rank are ranked.
+Spark's ``percentile`` keeps a value -> count map per group in one aggregation buffer. Here equal values are
+counted first and the distinct ones ranked. A small input is ranked by one sort per group. Beyond the size check
+the same numbers come from a selection: a mergeable sketch brackets each wanted rank, the rows below a bracket
+are only counted, a histogram splits the bracket, and only the values in the cells that hold the rank are ranked.
 """
 
 from __future__ import annotations
@@ -20,11 +20,6 @@ SKETCH_ACCURACY = 10_000
 CELLS = 1_000
 
 
-def percentile_columns(value: Column, probabilities: Sequence[float]) -> list[Column]:
-    """Built-in exact percentiles, one column per probability."""
-    return [F.percentile(value, F.lit(float(p))) for p in probabilities]
-
-
 def group_percentiles(
     df: DataFrame,
     group_by: Sequence[str],
@@ -39,13 +34,40 @@ def group_percentiles(
         *[ref(g).alias(g) for g in group_by], ref(value).cast("double").alias("_v")
     ).where(F.col("_v").isNotNull())
     if is_small(base):
-        wanted = [
-            F.percentile("_v", F.lit(float(p))).alias(name) for name, p in probabilities.items()
-        ]
-        return base.groupBy(*group_by).agg(*wanted) if group_by else base.agg(*wanted)
+        return _rank_groups(base, list(group_by), probabilities)
     return _select_ranks(base, list(group_by), probabilities)
 
 
+def _rank_groups(
+    base: DataFrame, groups: list[str], probabilities: dict[str, float]
+) -> DataFrame:
+    """Ranks from one sort of the distinct values of each group, each in one (spilling) task."""
+    counted = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counted.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    running = (
+        Window.partitionBy(*groups)
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = counted.withColumn("_end", F.sum("_c").over(running)).withColumn(
+        "_begin", F.col("_end") - F.col("_c")
+    )
+    sized = _null_safe(ranked, broadcast_if_small(sizes), groups, "inner") if groups else (
+        ranked.crossJoin(F.broadcast(sizes))
+    )
+    used, measures = F.lit(False), []
+    for name, p in probabilities.items():
+        rank = (F.col("_n") - 1) * F.lit(float(p))
+        below, above = (
+            (F.col("_begin") <= r) & (F.col("_end") > r) for r in (F.floor(rank), F.ceil(rank))
+        )
+        used = used | below | above
+        low, high = F.max(F.when(below, F.col("_v"))), F.max(F.when(above, F.col("_v")))
+        measures.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    hits = sized.where(used)
+    return hits.groupBy(*groups).agg(*measures) if groups else hits.agg(*measures)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on shared keys where null equals null, keeping one copy of the keys."""
     renamed = right.select(

@@ -36,6 +36,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input that arrives in few partitions one per core before repeated or heavy work on it.
+
+    Larger inputs come in enough splits of their own and are not shuffled for this.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; keeps partitions and their order."""
     spark = df.sparkSession

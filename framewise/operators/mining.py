@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.columns import numeric_columns, ref
 from framewise.functions.quantiles import group_percentiles
+from framewise.functions.scale import spread
 from framewise.operators.aggregates import unpivot_numeric
 
 MIN_ROWS = 10
@@ -40,7 +41,7 @@ def clusters(
     Features are standardised. ``k`` is held in 2-8; without it the best mean silhouette over 2..8 decides.
     """
     features = _usable(df, columns)
-    rows = df.dropna(subset=features)
+    rows = spread(df.dropna(subset=features))
     n = rows.count()
     if n < MIN_ROWS:
         raise ValueError(f"Need at least {MIN_ROWS} complete rows for clustering (got {n})")
@@ -51,7 +52,8 @@ def clusters(
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
         ]
     )
-    scaled = prepare.fit(doubles).transform(doubles).persist()
+    standard = prepare.fit(doubles)
+    scaled = standard.transform(doubles).persist()
     try:
         top = min(MAX_CLUSTERS, n - 1)
 
@@ -77,7 +79,7 @@ def clusters(
         scaled.unpersist()
     order = {old: new for new, (old, _) in enumerate(sizes)}
     rename = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    labelled = model.transform(prepare.fit(doubles).transform(doubles))
+    labelled = model.transform(standard.transform(doubles))
     return labelled.select(*[ref(c) for c in df.columns], rename[F.col("_c")].alias("cluster"))
 
 
@@ -147,45 +149,50 @@ def _mean_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, seed: int) -> dict[str, list]:
-    """One isolation tree over at most ``TREE_ROWS`` points, as flat node lists."""
+    """One isolation tree over at most ``TREE_ROWS`` points, as flat node lists.
+
+    The children of a node are neighbours: a row goes to ``left``, or one further when its value is above the
+    cut. A leaf leads to itself.
+    """
     rng = np.random.default_rng(seed)
     limit = math.ceil(math.log2(max(len(x), 2)))
-    tree: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "path": []}
-
-    def node(rows: np.ndarray, depth: int) -> int:
-        here = len(tree["feature"])
-        for name, empty in (("feature", -1), ("cut", 0.0), ("left", -1), ("right", -1), ("path", 0.0)):
-            tree[name].append(empty)
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (None, None)
-        open_features = np.flatnonzero(high > low) if len(rows) > 1 else np.array([], dtype=int)
-        if depth >= limit or not len(open_features):
+    tree: dict[str, list] = {"feature": [0], "cut": [math.inf], "left": [0], "path": [0.0]}
+    waiting = [(0, np.arange(len(x)), 0)]
+    while waiting:
+        here, rows, depth = waiting.pop()
+        points = x[rows]
+        open_features = np.array([], dtype=int)
+        if depth < limit and len(rows) > 1:
+            low, high = points.min(axis=0), points.max(axis=0)
+            open_features = np.flatnonzero(high > low)
+        if not len(open_features):
             tree["path"][here] = depth + float(_mean_path(len(rows)))
-            return here
+            continue
         f = int(rng.choice(open_features))
         cut = float(rng.uniform(low[f], high[f]))
-        goes_left = rows[:, f] <= cut
-        tree["feature"][here], tree["cut"][here] = f, cut
-        tree["left"][here] = node(rows[goes_left], depth + 1)
-        tree["right"][here] = node(rows[~goes_left], depth + 1)
-        return here
-
-    node(x, 0)
+        below = points[:, f] <= cut
+        child = len(tree["feature"])
+        tree["feature"][here], tree["cut"][here], tree["left"][here] = f, cut, child
+        for part in (rows[below], rows[~below]):
+            at = len(tree["feature"])
+            tree["feature"].append(0)
+            tree["cut"].append(math.inf)
+            tree["left"].append(at)
+            tree["path"].append(0.0)
+            waiting.append((at, part, depth + 1))
     return tree
 
 
 def _mean_depth(x: np.ndarray, forest: list[dict[str, np.ndarray]]) -> np.ndarray:
+    """Mean path length of each row over the trees; all rows of a batch take each step together."""
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
+    flat = np.ascontiguousarray(x).ravel()
+    start = np.arange(len(x)) * x.shape[1]
     for tree in forest:
-        at = np.zeros(len(x), dtype=int)
-        while True:
-            feature = tree["feature"][at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            left = x[rows, np.where(inner, feature, 0)] <= tree["cut"][at]
-            step = np.where(left, tree["left"][at], tree["right"][at])
-            at = np.where(inner, step, at)
+        at = np.zeros(len(x), dtype=np.int64)
+        for _ in range(tree["depth"]):
+            value = flat[start + tree["feature"][at]]
+            at = tree["left"][at] + (value > tree["cut"][at])
         total += tree["path"][at]
     return total / len(forest)
 
@@ -217,7 +224,7 @@ def anomaly_scores(
         r["column"]: r["m"] for r in group_percentiles(long, ["column"], "value", {"m": 0.5}).collect()
     }
     vector = F.array(*[F.coalesce(ref(c).cast("double"), F.lit(medians[c])) for c in features])
-    filled = df.withColumn("_x", vector)
+    filled = spread(df).withColumn("_x", vector)
 
     # Two thinning steps keep the sampled set near 50,000 rows, whatever the table's size.
     def fraction(*salt: Column) -> Column:
@@ -237,9 +244,10 @@ def anomaly_scores(
         tree = _grow(np.vstack(rows["_x"].to_numpy()), seed + int(key_[0]))
         return pd.DataFrame({name: [values] for name, values in tree.items()})
 
-    schema = "feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
+    schema = "feature array<long>, cut array<double>, left array<long>, path array<double>"
     grown = sample.groupBy("tree").applyInPandas(grow, schema).collect()
-    forest = [{name: np.asarray(row[name]) for name in row.asDict()} for row in grown]
+    steps = math.ceil(math.log2(TREE_ROWS))
+    forest = [{**{n: np.asarray(v) for n, v in row.asDict().items()}, "depth": steps} for row in grown]
     shared = df.sparkSession.sparkContext.broadcast(forest)
     norm = float(_mean_path(min(TREE_ROWS, counts["n"]))) or 1.0
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.columns import field_type, is_numeric, ladder, ref, require_columns
 from framewise.functions.quantiles import group_percentiles
-from framewise.functions.scale import broadcast_if_small, freeze, row_positions
+from framewise.functions.scale import broadcast_if_small, freeze, row_positions, spread
 from framewise.operators.aggregates import unpivot_numeric
 from framewise.operators.validation import classification_metrics, regression_metrics
 
@@ -320,8 +320,8 @@ def train_many(
     rows = df.where(ref(target).isNotNull())
     fit_rows, test_rows = split(rows, key, seed=seed)
     stats = fit_stats(fit_rows, features, target, problem_type)
-    prepared = _prepared(fit_rows, stats).select("features", "label").persist()
-    held = _prepared(test_rows, stats).select("features", "label").where(F.col("label").isNotNull()).persist()
+    prepared = _prepared(spread(fit_rows), stats).select("features", "label").persist()
+    held = _prepared(spread(test_rows), stats).select("features", "label").where(F.col("label").isNotNull()).persist()
     try:
         sizes = {"train_size": prepared.count(), "test_size": held.count()}
         models = []
@@ -499,7 +499,7 @@ def tune(
     rows = df.where(ref(target).isNotNull())
     fit_rows, _ = split(rows, key)
     stats = fit_stats(fit_rows, features, target, problem_type)
-    prepared = _prepared(fit_rows, stats)
+    prepared = _prepared(spread(fit_rows), stats)
     by_class = "label" if problem_type == "classification" else None
     folded = _fold_rows(prepared, key, folds, by_class).select("features", "label", "fold").persist()
     try:
