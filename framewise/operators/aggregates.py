@@ -93,7 +93,7 @@ def group_total(
     if kind == "sum":
         share = F.when(F.col("total") != 0, ref(name) / F.col("total") * 100)
         result = result.withColumn("share_pct", F.round(share, 1))
-    return result
+    return result.orderBy(ref(name).desc_nulls_last(), ref(group_col).asc_nulls_last())
 
 
 def spec_groupby(
@@ -403,6 +403,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over the complete pairs, null when a side does not vary (``corr`` raises then)."""
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson r and the number of complete rows for each pair, all pairs of a batch in one scan."""
     parts = []
@@ -411,14 +417,14 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         measures = []
         for i, (a, b) in enumerate(batch):
             x, y = ref(a).cast("double"), ref(b).cast("double")
-            measures.append(F.corr(x, y).alias(f"r{i}"))
+            measures.append(pearson(x, y).alias(f"r{i}"))
             measures.append(F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"))
         wide = df.agg(*measures)
         structs = [
             F.struct(
                 F.lit(a).alias("col_a"),
                 F.lit(b).alias("col_b"),
-                F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("r"),
+                F.col(f"r{i}").alias("r"),
                 F.col(f"n{i}").alias("pairs"),
             )
             for i, (a, b) in enumerate(batch)

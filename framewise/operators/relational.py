@@ -194,7 +194,8 @@ def spec_filter(
     matches = df.where(test)
     total = matches.agg(F.count(F.lit(1)).alias("match_count"))
     page = (matches.orderBy(*order_by) if order_by else matches).limit(n)
-    return page.crossJoin(F.broadcast(total))
+    result = page.crossJoin(F.broadcast(total))
+    return result.orderBy(*order_by) if order_by else result
 
 
 def drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -300,6 +301,9 @@ def scatter_sample(
     require_numeric(df, y)
     pairs = sample_rows(df.where(ref(x).isNotNull() & ref(y).isNotNull()), key, n, seed)
     points = pairs.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y"))
-    r = points.agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("_n"))
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    r = points.agg(
+        F.try_divide(F.covar_pop("x", "y"), spread).alias("r"), F.count(F.lit(1)).alias("_n")
+    )
     r = r.select(F.when(F.col("_n") >= 3, F.round("r", 3)).alias("r"))
     return points.crossJoin(F.broadcast(r))

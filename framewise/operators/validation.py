@@ -259,7 +259,7 @@ def prediction_errors(
         ref(actual).cast("string").alias("actual"),
         ref(predicted).cast("string").alias("predicted"),
         *extra,
-    ).crossJoin(F.broadcast(totals))
+    ).crossJoin(F.broadcast(totals)).orderBy("rank")
 
 
 def confidence(runs: DataFrame) -> DataFrame:
