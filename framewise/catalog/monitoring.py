@@ -227,7 +227,7 @@ register(
     lambda t: monitoring.drift_numeric(prediction_log(t)),
     f"""WITH {LOG}, {_DRIFT_N} SELECT deployment_id, n AS predictions,
       CASE WHEN q IS NULL THEN 'insufficient_data' WHEN q < 1 THEN 'stable' WHEN q < 2 THEN 'mild_drift'
-        ELSE 'significant_drift' END AS status, least(100, floor(q * 33))::INT AS drift_score,
+        ELSE 'significant_drift' END AS status, CASE WHEN q IS NOT NULL THEN least(100, floor(q * 33))::INT END AS drift_score,
       CASE WHEN q IS NOT NULL THEN round(bm, 4) END AS baseline_mean,
       CASE WHEN q IS NOT NULL THEN round(bs, 4) END AS baseline_std,
       CASE WHEN q IS NOT NULL THEN round(rm, 4) END AS recent_mean,
@@ -254,7 +254,7 @@ register(
     "drift_cat",
     lambda t: monitoring.drift_categorical(prediction_log(t)),
     f"""WITH {LOG}, {_EDGES}, {_DRIFT_C} SELECT deployment_id, n AS predictions, {_STATUS_C} AS status,
-      least(100, floor(round(d * 200, 8)))::INT AS drift_score, round(d, 4) AS tvd FROM cd""",
+      CASE WHEN d IS NOT NULL THEN least(100, floor(round(d * 200, 8)))::INT END AS drift_score, round(d, 4) AS tvd FROM cd""",
 )
 
 register(
@@ -269,9 +269,9 @@ _DRIFT = """dr AS (SELECT dep.id AS deployment_id, dep.problem_type, coalesce(n,
     coalesce(s, 'insufficient_data') AS status, sc AS drift_score FROM dep LEFT JOIN (
       SELECT deployment_id, 'regression' AS k, n, CASE WHEN q IS NULL THEN 'insufficient_data'
         WHEN q < 1 THEN 'stable' WHEN q < 2 THEN 'mild_drift' ELSE 'significant_drift' END AS s,
-        least(100, floor(q * 33))::INT AS sc FROM zn
+        CASE WHEN q IS NOT NULL THEN least(100, floor(q * 33))::INT END AS sc FROM zn
       UNION ALL SELECT deployment_id, 'classification', n, {status},
-        least(100, floor(round(d * 200, 8)))::INT FROM cd) x
+        CASE WHEN d IS NOT NULL THEN least(100, floor(round(d * 200, 8)))::INT END FROM cd) x
     ON x.deployment_id = dep.id AND x.k = dep.problem_type)""".replace("{status}", _STATUS_C)
 
 register(

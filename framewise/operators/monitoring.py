@@ -106,6 +106,11 @@ def first_last_windows(log: DataFrame, n: int = WINDOW) -> DataFrame:
     return first.unionByName(edge("recent", F.desc("created_at"), F.desc("id")))
 
 
+def _capped_score(value: Column) -> Column:
+    """Whole score of at most 100; ``least`` alone would turn a missing one into 100."""
+    return F.when(value.isNotNull(), F.least(F.lit(100), F.floor(value))).cast("int")
+
+
 def drift_numeric(log: DataFrame, window: int = WINDOW) -> DataFrame:
     """Shift of the mean prediction, last against first window, in baseline standard deviations."""
     totals = log.groupBy("deployment_id").agg(F.count(F.lit(1)).alias("predictions"))
@@ -131,7 +136,7 @@ def drift_numeric(log: DataFrame, window: int = WINDOW) -> DataFrame:
         "deployment_id",
         "predictions",
         F.coalesce(status, F.lit("insufficient_data")).alias("status"),
-        F.least(F.lit(100), F.floor(F.col("_z") * 33)).cast("int").alias("drift_score"),
+        _capped_score(F.col("_z") * 33).alias("drift_score"),
         *[
             F.when(enough, F.round(c, 4)).alias(name)
             for c, name in (
@@ -179,7 +184,7 @@ def drift_categorical(log: DataFrame, window: int = WINDOW, digits: int | None =
         "deployment_id",
         "predictions",
         F.coalesce(status, F.lit("insufficient_data")).alias("status"),
-        F.least(F.lit(100), F.floor(F.round(F.col("_d") * 200, 8))).cast("int").alias("drift_score"),
+        _capped_score(F.round(F.col("_d") * 200, 8)).alias("drift_score"),
         F.round("_d", 4).alias("tvd"),
     )
 
@@ -411,7 +416,7 @@ def run_drop(
     )
     earlier = done.join(latest, group).where(order < F.col("_last"))
     best = earlier.groupBy(group, "latest_metric").agg(F.max(ref(metric)).alias("best_earlier"))
-    fall = (F.col("best_earlier") - F.col("latest_metric")) / F.col("best_earlier")
+    fall = F.try_divide(F.col("best_earlier") - F.col("latest_metric"), F.col("best_earlier"))
     return best.select(
         group,
         F.round("latest_metric", 4).alias("latest_metric"),

@@ -172,7 +172,8 @@ def segment_performance(
     require_columns(scored, group, actual, predicted)
     if problem_type == "regression":
         y, p = ref(actual).cast("double"), ref(predicted).cast("double")
-        raw = F.greatest(_r2(y, p), F.lit(-1.0))
+        r2 = _r2(y, p)
+        raw = F.when(r2.isNotNull(), F.greatest(r2, F.lit(-1.0)))
         steps = [(0.85, "strong"), (0.65, "moderate"), (0.4, "weak")]
     else:
         raw = F.avg((ref(actual) == ref(predicted)).cast("double"))
@@ -249,7 +250,7 @@ def prediction_errors(
     wrong = ref(actual) != ref(predicted)
     totals = scored.agg(
         F.count_if(wrong).alias("total_errors"),
-        F.round(F.count_if(wrong) / F.count(F.lit(1)), 4).alias("error_rate"),
+        F.round(F.try_divide(F.count_if(wrong), F.count(F.lit(1))), 4).alias("error_rate"),
     )
     top = scored.where(wrong).orderBy(*keys).limit(n)
     rank = F.row_number().over(Window.orderBy(*keys))
