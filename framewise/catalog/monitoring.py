@@ -507,6 +507,13 @@ register(
     f"WITH {LAB} SELECT y AS actual, p AS predicted, count(*) AS n FROM sl GROUP BY 1, 2",
 )
 
+register(
+    "confusion_matrix",
+    lambda t: validation.confusion_matrix(scored_labels(t)),
+    f"""WITH {LAB} SELECT y AS actual, count(*) FILTER (p = 'A') AS "A", count(*) FILTER (p = 'N') AS "N",
+      count(*) FILTER (p = 'R') AS "R" FROM sl GROUP BY 1""",
+)
+
 register(
     "confusion_summary",
     lambda t: validation.confusion_summary(scored_labels(t)),

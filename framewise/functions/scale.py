@@ -48,7 +48,7 @@ def freeze(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; keeps partitions and their order."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         # Only a session without that setting (tests, one machine) gets a folder of its own.
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="framewise-checkpoint-"))

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.columns import ref
@@ -56,15 +56,6 @@ def class_probabilities(df: DataFrame, trained: TrainedModel, key: Sequence[str]
     return long.withColumn("probability", F.round("probability", 4))
 
 
-def _overridden(df: DataFrame, overrides: dict[str, Any]) -> DataFrame:
-    unknown = [c for c in overrides if c not in df.columns]
-    if unknown:
-        raise ValueError(f"Columns not found: {', '.join(unknown)}")
-    return df.withColumns(
-        {c: F.lit(v).cast(df.schema[c].dataType) for c, v in overrides.items()}
-    )
-
-
 def _change(df: DataFrame, numeric: bool) -> DataFrame:
     """Adds delta, percent_change (of |base|) and direction to base and new predictions."""
     if not numeric:
@@ -102,27 +93,39 @@ def scenarios(
         raise ValueError("At least one scenario is required")
     if len(cases) > MAX_SCENARIOS:
         raise ValueError(f"Maximum {MAX_SCENARIOS} scenarios allowed per request")
-    base_label = "\u0000base"
-    parts = [df.withColumn("scenario", F.lit(base_label))]
-    parts += [_overridden(df, o).withColumn("scenario", F.lit(label)) for label, o in cases]
-    copies = parts[0]
-    for part in parts[1:]:
-        copies = copies.unionByName(part)
-    scored = score_batch(copies, trained).select(*[ref(k) for k in key], "scenario", "prediction")
+    names = F.array(*[F.lit(label) for label, _ in cases])
+    # One scan: each row is repeated once per case (case 0 is the row as it is), then the overrides apply.
+    copies = df.withColumn("_case", F.explode(F.sequence(F.lit(0), F.lit(len(cases)))))
+    changed: dict[str, Column] = {}
+    for i, (_, overrides) in enumerate(cases, start=1):
+        unknown = [c for c in overrides if c not in df.columns]
+        if unknown:
+            raise ValueError(f"Columns not found: {', '.join(unknown)}")
+        for c, v in overrides.items():
+            value = F.lit(v).cast(df.schema[c].dataType)
+            changed[c] = F.when(F.col("_case") == i, value).otherwise(changed.get(c, ref(c)))
+    scored = score_batch(copies.withColumns(changed), trained).select(
+        *[ref(k) for k in key], "_case", "prediction"
+    )
     grouped = scored.groupBy(*[ref(k) for k in key]).agg(
-        F.max(F.when(F.col("scenario") == base_label, F.col("prediction"))).alias("base_prediction"),
-        # At most eleven entries per row of the input.
+        F.max(F.when(F.col("_case") == 0, F.col("prediction"))).alias("base_prediction"),
+        # At most ten entries per row of the input.
         F.collect_list(
-            F.when(F.col("scenario") != base_label, F.struct("scenario", "prediction"))
+            F.when(
+                F.col("_case") > 0,
+                F.struct(F.element_at(names, F.col("_case")).alias("scenario"), "prediction"),
+            )
         ).alias("_cases"),
     )
     long = grouped.select(*[ref(k) for k in key], "base_prediction", F.inline("_cases"))
     numeric = trained.stats.problem_type == "regression"
-    changed = _change(long, numeric)
+    result = _change(long, numeric)
     if not numeric:
-        return changed.withColumns({"is_best": F.lit(None).cast("boolean"), "is_worst": F.lit(None).cast("boolean")})
+        return result.withColumns(
+            {name: F.lit(None).cast("boolean") for name in ("is_best", "is_worst")}
+        )
     row = Window.partitionBy(*[ref(k) for k in key])
-    return changed.withColumns(
+    return result.withColumns(
         {
             "is_best": F.col("delta") == F.max("delta").over(row),
             "is_worst": F.col("delta") == F.min("delta").over(row),

@@ -14,6 +14,8 @@ from framewise.functions.columns import ladder, ref, require_columns
 from framewise.functions.quantiles import group_percentiles
 from framewise.operators.relational import sample_rows
 
+MAX_LABELS = 1_000
+
 
 def _r2(y: Column, p: Column) -> Column:
     """1 - residual / total sum of squares, null when the actual values do not vary."""
@@ -39,40 +41,63 @@ def regression_metrics(
 def confusion(
     scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
-    """Counts per (actual, predicted) label pair, pairs that never occur included."""
-    counts = scored.where(ref(actual).isNotNull() & ref(predicted).isNotNull()).groupBy(
+    """Counts per (actual, predicted) label pair that occurs."""
+    rows = scored.where(ref(actual).isNotNull() & ref(predicted).isNotNull())
+    return rows.groupBy(
         ref(actual).cast("string").alias("actual"), ref(predicted).cast("string").alias("predicted")
     ).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.select(F.col("actual").alias("label")).union(counts.select("predicted")).distinct()
-    grid = labels.select(F.col("label").alias("actual")).crossJoin(
-        F.broadcast(labels.select(F.col("label").alias("predicted")))
-    )
-    # labels x labels rows: a table of classes, not of data.
-    return grid.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
-    )
+
+
+def confusion_matrix(
+    scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
+) -> DataFrame:
+    """Square matrix, a row per actual and a column per predicted label, 0 where a pair never occurs.
+
+    The labels become the schema, so they are read first; more than ``MAX_LABELS`` are refused.
+    """
+    cells = confusion(scored, actual, predicted)
+    seen = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
+    labels = [r.label for r in seen.orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"More than {MAX_LABELS} labels: read the pairs of confusion() instead")
+    # A label that was only ever predicted still gets its row.
+    rows = seen.select(F.col("label").alias("actual"), F.lit(None).cast("string").alias("predicted"))
+    padded = cells.unionByName(rows.withColumn("n", F.lit(0).cast("long")))
+    return padded.groupBy("actual").pivot("predicted", labels).agg(F.sum("n")).na.fill(0)
 
 
 def class_scores(
     scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
-    """Per actual class: support, precision, recall and F1."""
+    """Per label: support, precision, recall and F1."""
     cells = confusion(scored, actual, predicted)
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    rows = cells.groupBy(F.col("actual").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(hit).alias("tp")
+    n, hit = F.col("n"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    # Each pair counts once for its actual and once for its predicted label.
+    sides = cells.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("actual").alias("label"), n.alias("s"), F.lit(0).cast("long").alias("c"), hit.alias("t")),
+                F.struct(
+                    F.col("predicted").alias("label"),
+                    F.lit(0).cast("long").alias("s"),
+                    n.alias("c"),
+                    F.lit(0).cast("long").alias("t"),
+                ),
+            )
+        )
+    )
+    joined = sides.groupBy("label").agg(
+        F.sum("s").alias("support"), F.sum("c").alias("claimed"), F.sum("t").alias("tp")
     )
-    cols = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("claimed"))
-    joined = rows.join(cols, "label").withColumns(
+    joined = joined.withColumns(
         {
-            "precision": F.when(F.col("claimed") > 0, F.col("tp") / F.col("claimed")).otherwise(0.0),
-            "recall": F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0),
+            "precision": F.coalesce(F.try_divide("tp", "claimed"), F.lit(0.0)),
+            "recall": F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)),
         }
     )
     both = F.col("precision") + F.col("recall")
-    return joined.withColumn(
-        "f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)
-    )
+    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), both)
+    return joined.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
 def classification_metrics(
@@ -81,6 +106,7 @@ def classification_metrics(
     """One row: accuracy, F1, precision, recall. Two actual classes: of the larger label; else weighted."""
     per_class = class_scores(scored, actual, predicted)
     weight = F.col("support") / F.col("_all")
+    # One row per class.
     rows = per_class.withColumn("_all", F.sum("support").over(Window.partitionBy()))
     present = F.col("support") > 0
 
@@ -101,8 +127,8 @@ def classification_metrics(
 def confusion_summary(
     scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
-    """One row: totals, accuracy and the class with the lowest recall."""
-    per_class = class_scores(scored, actual, predicted)
+    """One row: totals, accuracy and the actual class with the lowest recall."""
+    per_class = class_scores(scored, actual, predicted).where(F.col("support") > 0)
     order = F.struct("recall", "label")
     return per_class.agg(
         F.sum("support").alias("total"),

@@ -202,7 +202,11 @@ def test_metrics_by_hand(table):
     assert (got.accuracy, got.recall, got.precision, got.f1) == (0.75, 1.0, 0.6667, 0.8)
     three = labels.union(table("a string, p string", [("c", "a")]))
     assert validation.classification_metrics(three).first().recall == 0.6
-    assert validation.confusion(three).count() == 9
+    assert validation.confusion(three).count() == 4
+    matrix = {r.actual: (r.a, r.b, r.c) for r in validation.confusion_matrix(three).collect()}
+    assert matrix == {"a": (1, 1, 0), "b": (0, 2, 0), "c": (1, 0, 0)}
+    guess = table("actual string, predicted string", [("a", "z")])
+    assert {r.actual: r.z for r in validation.confusion_matrix(guess).collect()} == {"a": 1, "z": 0}
     assert validation.confusion_summary(three).first().worst_class == "c"
 
 
