@@ -95,6 +95,16 @@ register(
     UNION ALL SELECT 'grand', 'all', round(sum(v), 2) FROM g""",
 )
 
+register(
+    "crosstab_overall",
+    lambda t: rounded(
+        aggregates.crosstab_overall(t.part, "p_brand", "p_size", "p_retailprice", "mean"), "overall", digits=4
+    ),
+    """SELECT round(avg(p_retailprice), 4) AS overall FROM part
+    WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 15)
+      AND p_size IN (SELECT DISTINCT p_size FROM part ORDER BY 1 LIMIT 10)""",
+)
+
 register(
     "crosstab_wide",
     lambda t: aggregates.crosstab(t.lineitem, "l_returnflag", "l_linestatus", agg="count"),

@@ -198,6 +198,26 @@ def crosstab_totals(
     return rows.unionByName(cols).unionByName(totals("grand", F.lit("all")))
 
 
+def crosstab_overall(
+    df: DataFrame,
+    row: str,
+    col: str,
+    value: str | None = None,
+    agg: str = "sum",
+    max_rows: int = 15,
+    max_cols: int = 10,
+) -> DataFrame:
+    """One row: the aggregate over all rows behind the shown cells, which sums of means or extremes are not."""
+    shown = crosstab_cells(df, row, col, value, agg, max_rows, max_cols)
+    rows = df.where(ref(row).isNotNull() & ref(col).isNotNull())
+    # At most max_rows and max_cols labels.
+    for name, label in ((row, "row_label"), (col, "col_label")):
+        labels = shown.select(F.col(label).alias("_label")).distinct()
+        rows = rows.join(F.broadcast(labels), ref(name) == F.col("_label"), "left_semi")
+    metric = F.count(F.lit(1)) if value is None or agg == "count" else AGGREGATES[agg](ref(value))
+    return rows.agg(metric.cast("double").alias("overall"))
+
+
 def bar_data(
     df: DataFrame,
     group: str | None,
