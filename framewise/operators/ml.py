@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.columns import field_type, is_numeric, ladder, ref, require_columns
 from framewise.functions.quantiles import group_percentiles
-from framewise.functions.scale import broadcast_if_small, freeze, is_small, row_positions, spread
+from framewise.functions.scale import broadcast_if_small, freeze, row_positions, spread
 from framewise.operators.aggregates import unpivot_numeric
 from framewise.operators.validation import classification_metrics, regression_metrics
 
@@ -318,13 +318,9 @@ def train_many(
     for a in algorithms:
         _check(a, problem_type)
     rows = df.where(ref(target).isNotNull())
-    # A small table is read once, spread over the cores and kept; a large one is only kept as feature vectors.
-    small = is_small(rows)
-    if small:
-        rows = spread(rows).persist()
     fit_rows, test_rows = split(rows, key, seed=seed)
     stats = fit_stats(fit_rows, features, target, problem_type)
-    prepared = _prepared(fit_rows, stats).select("features", "label").persist()
+    prepared = spread(_prepared(fit_rows, stats).select("features", "label")).persist()
     held = _prepared(test_rows, stats).select("features", "label")
     held = held.where(F.col("label").isNotNull()).persist()
     try:
@@ -352,8 +348,6 @@ def train_many(
     finally:
         prepared.unpersist()
         held.unpersist()
-        if small:
-            rows.unpersist()
 
 
 RUN_SCHEMA = (
