@@ -1,4 +1,4 @@
-"""Column helpers: safe references, schema roles and small expression builders."""
+"""Column helpers: safe column names, schema roles and small expression builders."""
 
 from __future__ import annotations
 

@@ -27,7 +27,6 @@ from framewise.functions.quantiles import group_percentiles, weighted_median
 from framewise.operators.aggregates import (
     column_frequencies,
     correlation_pairs,
-    correlations,
     duplicate_count,
     histogram,
     iqr_outliers,

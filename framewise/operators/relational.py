@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from framewise.functions.columns import (
     field_type,
-    is_float,
     is_integer,
     is_numeric,
     is_text,
