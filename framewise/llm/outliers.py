@@ -313,3 +313,10 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MI
     stats = stored(text_statistics(given).drop("text"), folder)
     out = outlier_distances(stats, folder, min_rows).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
+
+
+def kept_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs that the verdicts keep. Verdicts name rows by doc_id: of rows that share one (or have none) all stay
+    if any is kept."""
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
