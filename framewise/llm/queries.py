@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontamination, outliers, parity_join
+from framewise.llm import decontamination, outliers, parity_join, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     out = decontamination.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate in the documents with the forest's score and verdict; the string itself as a digest."""
+    found = secrets.scan(table(spark, folder, "documents"), path="source")
+    digest = F.sha2("candidate", 256).alias("candidate_sha256")
+    size = F.length("candidate").cast("long").alias("length")
+    return found.select("doc_id", "position", size, digest, F.round("score", 4).alias("score"), "secret")
