@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     live = edges.where(F.col(a) != F.col(b)).select(pair(F.col(a), F.col(b)).alias("e")).select("e.*").distinct()
     live = stored(live, folder)
-    nodes = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = nodes.select("node", F.col("node").alias("component"))
+    found = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = found.select("node", F.col("node").alias("component"))
     while not live.isEmpty():
         both = live.select("a", "b").union(live.select("b", "a"))
         smallest = both.groupBy("a").agg(F.min("b").alias("least"))
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         ends = lambda side: step.select(F.col("node").alias(side), F.col("to").alias(f"to_{side}"))
         moved = live.join(ends("a"), "a").join(ends("b"), "b").where(F.col("to_a") != F.col("to_b"))
         live = stored(moved.select(pair(F.col("to_a"), F.col("to_b")).alias("e")).select("e.*").distinct(), folder)
+        # The steps are few and are joined once, where the result is used.
         joined = found.join(step.withColumnRenamed("node", "component"), "component", "left")
-        found = stored(joined.select("node", F.coalesce("to", "component").alias("component")), folder)
-    return found
+        found = joined.select("node", F.coalesce("to", "component").alias("component"))
+    return stored(found, folder)

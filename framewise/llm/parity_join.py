@@ -12,10 +12,11 @@ that is not zero; equal keys make candidates. A set with too few non-zero parts
 zero parts, which only another such set needs. Candidates pass the size bound, then the Hamming bound on a second
 sketch of 512 bits, then an exact count over whole texts.
 
-Texts with equal sets are one node from the start. Within a group of equal keys candidates go from the smallest
-node to the others; groups whose nodes the links found so far do not connect go on with the next node, and the
-rest is compared in full once that is no more work than reading the groups. So no link between components is
-missed, and no group is expanded into its pairs.
+Texts with equal sets are one node from the start, and groups of equal keys with the same nodes are one group.
+Within a group the smallest node is compared with the others; groups whose nodes the links found so far do not
+connect go on with the next 4, 16, 64 ... nodes, each against nodes of other components, until comparing the rest
+in full makes at most ``FULL`` pairs a row. So no link between components is missed, and groups that links connect,
+however large, are never expanded into their pairs.
 
 Defined cases: null and empty texts link with nothing; a row without doc_id gets its set size and no component;
 rows that share a doc_id are one node of the graph with several sets. Columns other than doc_id and text are not
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm.components import connected_components
@@ -39,6 +40,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 SKETCH_BITS = 512
 #: Nodes whose ids may be broadcast to filter the texts to verify: 8 bytes each, 16 MB.
 BROADCAST_IDS = 2_000_000
+#: Groups are compared in full once that makes at most so many pairs for each of their rows.
+FULL = 20
 _SEED = U64(0xA0761D6478BD642F)
 _ZERO = U64(0xE7037ED1A0B428DB)
 
@@ -196,40 +199,53 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("key")
     live = stored(keyed.join(ends.hint("shuffle_hash"), "key"), folder)
     owner = links.select("b", "a").distinct()
-    members = stored(live.join(owner, "b").select("key", F.col("a").alias("node")).distinct(), folder)
+    members = stored(live.join(owner, "b").select("key", F.col("a").alias("node"), F.col("a").alias("component")).distinct(), folder)
 
-    found = stored(same.distinct(), folder)
+    found, hubs, parts = stored(same.distinct(), folder), 1, None
+    members = stored(_distinct_groups(members), folder)
     while not members.isEmpty():
-        hubs = members.groupBy("key").agg(F.min("node").alias("a"))
-        pairs = members.join(hubs, "key").where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
-        close = stored(_candidates(pairs, nodes, bands), folder)
-        found = stored(found.union(_similar(close, docs, shingle, num, den)), folder)
-        parts = connected_components(found, folder)
-        open_ = _unresolved(members.join(hubs, "key").where(F.col("node") > F.col("a")).select("key", "node"), parts)
-        open_ = stored(open_, folder)
-        counts = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        order = Window.partitionBy("key").orderBy("node")
+        ranked = members.withColumn("_rank", F.row_number().over(order))
+        first = ranked.where(F.col("_rank") <= hubs).select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
+        found, parts = _compared(members.join(first, "key"), found, docs, nodes, bands, shingle, folder)
+        rest = ranked.where(F.col("_rank") > hubs).select("key", "node")
+        members = stored(_distinct_groups(_unresolved(rest, parts)), folder)
+        counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
         totals = counts.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c"))
         work = totals.agg(F.sum("p").alias("p"), F.sum("c").alias("c")).first()
-        if work["c"] is None:
+        if work["c"] is not None and work["p"] <= FULL * work["c"]:
+            every = members.select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
+            found, parts = _compared(members.join(every, "key"), found, docs, nodes, bands, shingle, folder)
             break
-        if work["p"] <= 4 * work["c"] + 10_000:
-            left = open_.select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-            right = open_.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-            cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")))
-            close = stored(_candidates(cross.select("a", "b").distinct(), nodes, bands), folder)
-            found = stored(found.union(_similar(close, docs, shingle, num, den)), folder)
-            break
-        members = open_.select("key", "node")
-    parts = connected_components(found, folder)
+        hubs *= 4
+    parts = connected_components(found, folder) if parts is None else parts
     out = signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _compared(joined: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int, folder: str):
+    """Links found so far with those among pairs (a, node) of different components, and all components."""
+    pairs = joined.where((F.col("a") < F.col("node")) & (F.col("component_a") != F.col("component")))
+    close = stored(_candidates(pairs.select("a", F.col("node").alias("b")).distinct(), nodes, bands), folder)
+    found = stored(found.union(_similar(close, docs, shingle, bands.num, bands.den)), folder)
+    return found, connected_components(found, folder)
+
+
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """Of groups (key) with the same nodes, one."""
+    hashed = F.xxhash64("node")
+    marks = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    one = marks.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return members.join(one.select("key"), "key", "left_semi")
+
+
 def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members, with their components, of the groups that still have two components or more."""
     placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return placed.join(split.select("key"), "key").select("key", "node", "component")
+    return placed.join(split.select("key"), "key", "left_semi").select("key", "node", "component")
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
