@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontamination, outliers, parity_join, secrets
+from framewise.llm import decontamination, outliers, parity_join, secrets, sentence_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.sha2("candidate", 256).alias("candidate_sha256")
     size = F.length("candidate").cast("long").alias("length")
     return found.select("doc_id", "position", size, digest, F.round("score", 4).alias("score"), "secret")
+
+
+@query("op9_sentence_pieces")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding gives the text back."""
+    out = sentence_pieces.encode_texts(table(spark, folder, "documents"), piece_model(), check=True)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """Content of a SentencePiece model file, by default the public one of this machine."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
