@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm import outliers, parity_join
+from framewise.llm import decontamination, outliers, parity_join, secrets, sentence_pieces
+from framewise.llm.queries import piece_model
 from framewise.llm.storage import shared_folder, stored
 
 
@@ -21,10 +22,28 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return parity_join.first_of_each(docs, parity_join.jaccard_components(docs, shingle=5, num=8, den=10))
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a twentieth of their words or more in benchmark windows; cut such windows out of the others."""
+    return decontamination.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask what the forest takes for secrets; every document stays."""
+    return secrets.mask_secrets(docs, secrets.scan(docs, path="source"))
+
+
+def sentence_piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the SentencePiece ids of what is left of each document."""
+    return sentence_pieces.encode_texts(docs, piece_model())
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("sentence_piece_ids", sentence_piece_ids),
 ]
 
 #: SQL can express neither the robust distance nor the encoding; tests hold run() against a plain version.
