@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontamination, outliers, parity_join, secrets, sentence_pieces
+from framewise.llm import decontamination, kneser_ney, outliers, parity_join, secrets, sentence_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,15 @@ def piece_model(path: str | None = None) -> bytes:
 
     with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         return file.read()
+
+
+@query("op4_language_model")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document under a model of those whose checksum isn't divisible by ten."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    model = kneser_ney.train(docs.where(~held_out))
+    out = kneser_ney.score_texts(docs, model)
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
