@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontamination, kneser_ney, outliers, parity_join, secrets, sentence_pieces
+from framewise.llm import decontamination, kneser_ney, outliers, parity_join, secrets, sentence_pieces, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to patched frame-of-reference files and read back."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return token_files.read_ids(token_files.write_ids(table(spark, folder, "documents"), tokenizer))
