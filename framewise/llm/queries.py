@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import decontamination, kneser_ney, outliers, parity_join, secrets, sentence_pieces, token_files
+from framewise.llm import (
+    decontamination,
+    kneser_ney,
+    licenses,
+    outliers,
+    parity_join,
+    revisits,
+    secrets,
+    sentence_pieces,
+    token_files,
+    url_filters,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +38,85 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_URL = """
+    lower(regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 2)) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 3) AS path
+"""
+
+_REVISIT_SQL = """
+WITH p AS (SELECT page_id, url, html, 1700000000 + (page_id * 7919) % 7776000 AS t, md5(coalesce(html, '')) AS d, length(coalesce(html, '')) AS n,
+    CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 2)), '^(www|m)\\.', '')
+      || regexp_replace(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 3), '(/index)?(\\.html?|/)?$', '') END AS key FROM pages),
+r AS (
+  SELECT page_id * 4 AS id, key, t AS ts, '"' || d || '"' AS tag, 't' || t AS lm, n, d FROM p
+  UNION ALL SELECT page_id * 4 + 3, key, t + 172800 + page_id % 97, '"2' || d || '"', 't' || (t + 172800 + page_id % 97), n, md5(d || '2') FROM p WHERE page_id % 3 = 0),
+v AS (
+  SELECT page_id * 4 + 1 AS id, key, t + 86400 + page_id % 97 AS ts, CASE WHEN (page_id + 1) % 5 = 0 THEN '"stale"' ELSE '"' || d || '"' END AS tag, NULL AS lm, 'max-age=600' AS cc, NULL AS age FROM p
+  UNION ALL SELECT page_id * 4 + 2, key, t + 259200 + page_id % 97, NULL, 't' || CASE WHEN page_id % 3 = 0 THEN t + 172800 + page_id % 97 ELSE t END, NULL, '7' FROM p),
+j AS (SELECT v.*, r.id AS rid, r.tag AS rtag, r.lm AS rlm, r.n AS rn, r.d AS rd,
+    row_number() OVER (PARTITION BY v.id ORDER BY r.ts DESC, r.id DESC) AS k FROM v LEFT JOIN r ON r.key = v.key AND r.ts < v.ts),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN tag = rtag OR lm = rlm THEN 'resolved' ELSE 'mismatch' END AS status FROM j WHERE k = 1)
+SELECT id AS record_id, key, ts, rid AS response_id, status,
+  CASE WHEN status = 'resolved' THEN rtag END AS etag, CASE WHEN status = 'resolved' THEN coalesce(lm, rlm) END AS last_modified,
+  CASE WHEN status = 'resolved' THEN rn::VARCHAR END AS content_length, CASE WHEN status = 'resolved' THEN coalesce(cc, 'max-age=60') END AS cache_control,
+  CASE WHEN status = 'resolved' THEN age END AS age, CASE WHEN status = 'resolved' THEN rd END AS digest
+FROM s
+"""
+
+
+@query("op1_revisits", _REVISIT_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revisit of the crawl records derived from pages, resolved."""
+    out = revisits.resolve_revisits(revisits.records_from_pages(table(spark, folder, "pages")))
+    header = lambda name: F.try_element_at("headers", F.lit(name)).alias(name.replace("-", "_"))
+    headers = [header(n) for n in ("etag", "last-modified", "content-length", "cache-control", "age")]
+    return out.select("record_id", "key", "ts", "response_id", "status", *headers, "digest")
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op2_url_filters")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_pages(table(spark, folder, "pages"), rules)
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    norm = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    known = ", ".join(f"({quote(k)}, {norm(quote(v))})" for k, v in licenses.SENTENCES.items())
+    rules = ", ".join(f"({k}, {quote(n)}, [{', '.join(map(quote, ids))}])" for k, (n, ids) in enumerate(licenses.RULES))
+    # RE2 has no look-behind: a mark is put after each stop first.
+    cut = lambda stop: f"string_split_regex(regexp_replace(text, '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(30), 'g'), {stop})"
+    return f"""
+WITH known(id, sentence) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
+hinted AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|warrant|permission|redistribut|public domain')),
+ways AS (SELECT doc_id, text, 0 AS way, {cut("chr(30) || '|\n'")} AS parts FROM hinted
+  UNION ALL SELECT doc_id, text, 1, {cut("chr(30) || '|\n[ \\t\\r]*\n\\s*'")} FROM hinted),
+each_part AS (SELECT doc_id, text, way, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM ways),
+found AS (SELECT doc_id, text, way, list(id ORDER BY place, id) AS found FROM (SELECT *, {norm("part")} AS sentence FROM each_part) JOIN known USING (sentence) GROUP BY ALL),
+heads AS (SELECT *, unnest(generate_series(1, len(found))) AS pos FROM found),
+hits AS (SELECT doc_id, text, way, pos, licence, len(ids) AS n, row_number() OVER (PARTITION BY doc_id, text, way, pos ORDER BY len(ids) DESC, rule) AS k
+  FROM heads JOIN rules ON found[pos:pos + len(ids) - 1] = ids),
+per_way AS (SELECT doc_id, text, way, licence, count(*) AS m, max(n) AS n FROM hits WHERE k = 1 GROUP BY ALL)
+SELECT doc_id, licence, max(m) AS n_matches, max(n) AS n_sentences FROM per_way GROUP BY doc_id, text, licence
+"""
+
+
+@query("op7_license_scan", _license_sql())
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document."""
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Components of the documents under Jaccard similarity of four-word shingles of 0.85 or more."""
