@@ -14,8 +14,8 @@ sketch of 512 bits, then an exact count over whole texts.
 
 Texts with equal sets are one node from the start, and groups of equal keys with the same nodes are one group.
 Within a group the smallest node is compared with the others; groups whose nodes the links found so far do not
-connect go on with the next 4, 16, 64 ... nodes, each against nodes of other components, until comparing the rest
-in full makes at most ``FULL`` pairs a row. So no link between components is missed, and groups that links connect,
+connect go on with the next 8, 64, 512 ... nodes, each against nodes of other components, until comparing the rest
+in full takes at most ``FULL`` comparisons a row. So no link between components is missed, and groups that links connect,
 however large, are never expanded into their pairs.
 
 Defined cases: null and empty texts link with nothing; a row without doc_id gets its set size and no component;
@@ -26,6 +26,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SKETCH_BITS = 512
 #: Nodes whose ids may be broadcast to filter the texts to verify: 8 bytes each, 16 MB.
 BROADCAST_IDS = 2_000_000
 #: Groups are compared in full once that makes at most so many pairs for each of their rows.
-FULL = 20
+FULL = 200
 _SEED = U64(0xA0761D6478BD642F)
 _ZERO = U64(0xE7037ED1A0B428DB)
 
@@ -168,17 +169,22 @@ def stored_ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
-def _candidates(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of nodes within the size bound and the Hamming bound."""
-    side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n_shingles", "sketch")])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    n_a, n_b = F.col("n_shingles_a"), F.col("n_shingles_b")
-    bits = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y
-    )
-    sized = F.least(n_a, n_b) * bands.den >= F.greatest(n_a, n_b) * bands.num
-    near = bits * (bands.den + bands.num) <= (n_a + n_b) * (bands.den - bands.num)
-    return joined.where(sized & near).select("a", "b")
+_WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
+def _close(members: DataFrame, others: DataFrame, bands: Bands) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members and others that share a key, lie in different components, and pass the
+    size bound and the Hamming bound. The bounds are part of the join, so no other pair becomes a row."""
+    same = [c for c in others.columns if c != "key"]
+    right = others.select("key", *[F.col(c).alias(f"o_{c}") for c in same])
+    n, o = F.col("n_shingles"), F.col("o_n_shingles")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in _WORDS])
+    near = bits * (bands.den + bands.num) <= (n + o) * (bands.den - bands.num)
+    sized = F.least(n, o) * bands.den >= F.greatest(n, o) * bands.num
+    apart = (F.col("node") != F.col("o_node")) & (F.col("component") != F.col("o_component"))
+    left = members.withColumnRenamed("key", "_key")
+    joined = left.join(right, (F.col("_key") == F.col("key")) & apart & sized & near)
+    return joined.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -199,36 +205,43 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("key")
     live = stored(keyed.join(ends.hint("shuffle_hash"), "key"), folder)
     owner = links.select("b", "a").distinct()
-    members = stored(live.join(owner, "b").select("key", F.col("a").alias("node"), F.col("a").alias("component")).distinct(), folder)
-
-    found, hubs, parts = stored(same.distinct(), folder), 1, None
-    members = stored(_distinct_groups(members), folder)
+    words = [F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(_WORDS)]
+    facts = nodes.select("node", "n_shingles", *words)
+    members = live.join(owner, "b").select("key", F.col("a").alias("node")).distinct()
+    members = stored(_distinct_groups(members).join(facts, "node").withColumn("component", F.col("node")), folder)
+
+    hubs, parts = 1, stored(same.distinct(), folder)
+    parts = connected_components(parts, folder) if members.isEmpty() else parts
+    first = True
     while not members.isEmpty():
-        order = Window.partitionBy("key").orderBy("node")
-        ranked = members.withColumn("_rank", F.row_number().over(order))
-        first = ranked.where(F.col("_rank") <= hubs).select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-        found, parts = _compared(members.join(first, "key"), found, docs, nodes, bands, shingle, folder)
-        rest = ranked.where(F.col("_rank") > hubs).select("key", "node")
-        members = stored(_distinct_groups(_unresolved(rest, parts)), folder)
+        ranked = members.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        others = ranked.where(F.col("_rank") <= hubs).drop("_rank") if hubs else members
+        found = stored(_similar(stored(_close(members, others, bands), folder), docs, shingle, num, den), folder)
+        if first:
+            parts, first = connected_components(parts.union(found), folder), False
+        elif not found.isEmpty():
+            parts = _joined(parts, found, folder)
+        if not hubs:
+            break
+        rest = ranked.where(F.col("_rank") > hubs).drop("_rank", "component")
+        members = stored(_unresolved(rest, parts), folder)
         counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
         totals = counts.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c"))
         work = totals.agg(F.sum("p").alias("p"), F.sum("c").alias("c")).first()
-        if work["c"] is not None and work["p"] <= FULL * work["c"]:
-            every = members.select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-            found, parts = _compared(members.join(every, "key"), found, docs, nodes, bands, shingle, folder)
-            break
-        hubs *= 4
-    parts = connected_components(found, folder) if parts is None else parts
+        hubs = 0 if work["c"] is not None and work["p"] <= FULL * work["c"] else 8 * hubs
     out = signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _compared(joined: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int, folder: str):
-    """Links found so far with those among pairs (a, node) of different components, and all components."""
-    pairs = joined.where((F.col("a") < F.col("node")) & (F.col("component_a") != F.col("component")))
-    close = stored(_candidates(pairs.select("a", F.col("node").alias("b")).distinct(), nodes, bands), folder)
-    found = stored(found.union(_similar(close, docs, shingle, bands.num, bands.den)), folder)
-    return found, connected_components(found, folder)
+def _joined(parts: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Components after more links: those of the components that the links join."""
+    end = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    linked = found.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    more = linked.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = connected_components(more, folder)
+    old = parts.select("node", "component").union(merged.select("node", "node").join(parts.select("node"), "node", "left_anti"))
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(old.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), folder)
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
@@ -237,7 +250,7 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
     marks = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     )
-    one = marks.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    one = marks.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     return members.join(one.select("key"), "key", "left_semi")
 
 
@@ -245,7 +258,7 @@ def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members, with their components, of the groups that still have two components or more."""
     placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return placed.join(split.select("key"), "key", "left_semi").select("key", "node", "component")
+    return placed.join(split.select("key"), "key", "left_semi")
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
