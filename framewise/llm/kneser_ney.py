@@ -12,7 +12,9 @@ so all files of a level in order are one sorted array. Their number grows with t
 Scoring: a worker maps the files; a level's shard is found by the top bits of the hash and the entry by
 binary search. Nothing of the model passes the driver but counts of counts.
 
-An n-gram's hash is a 64-bit mix of its words' hashes; different n-grams are taken for equal once in 2^64 pairs.
+Words are counted by 64-bit hashes. N-grams are sent as 48 bits of each word's hash, sorted so that the first words
+compress away, and looked up by a 64-bit mix of those; two words are one word to the n-grams once in 2^48 pairs.
+Counts take a byte in the arrays; the few of 255 or more are in an array of their own.
 Where the shared folder is not a mounted one, workers read it through Arrow's file systems into unlinked local files,
 one copy per worker for the time of its task.
 
@@ -38,7 +40,7 @@ from framewise.llm.words import U64, mix, word_runs
 
 ORDER = 2
 #: Text bytes for each shard of a level.
-SHARD_BYTES = 16 * 1024 * 1024
+SHARD_BYTES = 32 * 1024 * 1024
 #: Words of text that a task counts before it sends a block.
 BLOCK_WORDS = 2_000_000
 ADD = 0.1
@@ -65,19 +67,20 @@ def token_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 def _contexts(hashes: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
     """For k = 0 to order - 1: the words k places back, BEGIN before a text's first."""
+    hashes = hashes >> U64(16)
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
     back = [hashes]
     for k in range(1, order):
-        x = np.full(len(hashes), BEGIN, U64)
+        x = np.full(len(hashes), BEGIN >> U64(16), U64)
         x[k:] = hashes[:-k] if k < len(hashes) else hashes[:0]
-        x[place < k] = BEGIN
+        x[place < k] = BEGIN >> U64(16)
         back.append(x)
     return back
 
 
 def _spelled(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of n-grams given by their words' hashes; of one word its own."""
-    out = columns[0]
+    """Hash of n-grams given by their words."""
+    out = mix(columns[0])
     for x in columns[1:]:
         out = _longer(out, x)
     return out
@@ -115,12 +118,18 @@ def _unpacked(block: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(U64).ravel() for p in planes]
 
 
-def _blocks(level: int, kind: int, key: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    """Rows sorted by key, cut into a block for each shard (the key's top bits)."""
+def _blocks(level: int, kind: int, key: np.ndarray, columns: list[np.ndarray], bits: int, words: list[np.ndarray] | None = None) -> Iterator[tuple]:
+    """Rows sorted by key, cut into a block for each shard (the key's top bits). N-grams of two words or more go as their
+    words in order, and the key is worked out again."""
     shard = (key >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    if words:
+        order = np.lexsort([*words[::-1], shard])
+        sent = [x[order] for x in (*words, *columns)]
+    else:
+        sent = [key, *columns]
     first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(key) else []
     for a, b in zip(first, [*first[1:], len(key)], strict=True):
-        yield level, int(shard[a]), kind, _packed([x[a:b] for x in (key, *columns)])
+        yield level, int(shard[a]), kind, _packed([x[a:b] for x in sent])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -132,25 +141,28 @@ def _count(order: int, bits: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        every: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             back = [np.concatenate(x) for x in zip(*held, strict=True)]
             words = back[::-1]
             key, columns, (n,) = _summed(_spelled(words), words, [np.ones(len(words[0]), U64)])
-            for row in _blocks(order, _NGRAM, key, [*columns, n], bits):
+            for row in _blocks(order, _NGRAM, key, [n], bits, columns if order > 1 else None):
                 yield _batch([row])
-            word, _, (n,) = _summed(back[0], [], [np.ones(len(back[0]), U64)])
+            tokens = np.concatenate(every)
+            word, _, (n,) = _summed(tokens, [], [np.ones(len(tokens), U64)])
             for row in _blocks(0, _NGRAM, word, [n], bits):
                 yield _batch([row])
 
         for batch in batches:
             for _, hashes, counts in token_runs(batch.column(0)):
                 held.append(_contexts(hashes, counts, order))
+                every.append(hashes)
                 size += len(hashes)
                 if size >= BLOCK_WORDS:
                     yield from flush()
-                    held, size = [], 0
+                    held, every, size = [], [], 0
         if held:
             yield from flush()
 
@@ -186,16 +198,19 @@ def _merge(order: int, bits: int, folder: str):
             _write(folder, f"word-0-{shard:06d}", [word, n])
             counts[:2] = len(word), int(n.sum())
         else:
-            ngram, words, (n,) = _summed(merged[0], merged[1:-1] if level > 1 else [], merged[-1:])
-            _write(folder, f"ngram-{level}-{shard:06d}", [ngram, n.astype(np.uint32)])
+            words = merged[:-1] if level > 1 else []
+            ngram, words, (n,) = _summed(_spelled(words) if words else merged[0], words, merged[-1:])
+            _write(folder, f"ngram-{level}-{shard:06d}", [ngram, np.minimum(n, U64(255)).astype(np.uint8)])
+            many = n >= 255
+            _write(folder, f"many-{level}-{shard:06d}", [ngram[many], n[many]])
             counts = np.array([(n == k).sum() for k in range(1, 5)], np.int64)
             one = [(n == 1).astype(U64), (n == 2).astype(U64), (n >= 3).astype(U64), n]
-            context, _, sums = _summed(_spelled(words[:-1]) if level > 1 else np.zeros(len(ngram), U64), [], one)
-            rows += _blocks(level, _CONTEXT, context, sums, bits if level > 1 else 0)
-            if level > 1:
+            context, _, sums = _summed(_spelled(words[:-1]) if words else np.zeros(len(ngram), U64), [], one)
+            rows += _blocks(level, _CONTEXT, context, sums, bits if words else 0)
+            if words:
                 shorter = words[1:]
-                suffix, columns, (m,) = _summed(_spelled(shorter), shorter if level > 2 else [], [np.ones(len(ngram), U64)])
-                rows += _blocks(level - 1, _NGRAM, suffix, [*columns, m], bits)
+                suffix, columns, (m,) = _summed(_spelled(shorter), shorter, [np.ones(len(ngram), U64)])
+                rows += _blocks(level - 1, _NGRAM, suffix, [m], bits, columns if level > 2 else None)
         rows.append((level, shard, -1, counts.tobytes()))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -291,7 +306,8 @@ class Scorer:
         self.model = model
         open_ = lambda name, kinds, bits: Arrays(model.folder, name, bits, kinds)
         self.word = open_("word-0", [np.uint64], model.bits)
-        self.ngram = {k: open_(f"ngram-{k}", [np.uint32], model.bits) for k in range(1, model.order + 1)}
+        self.ngram = {k: open_(f"ngram-{k}", [np.uint8], model.bits) for k in range(1, model.order + 1)}
+        self.many = {k: open_(f"many-{k}", [np.uint64], model.bits) for k in range(1, model.order + 1)}
         kinds = [np.uint32, np.uint32, np.uint32, np.uint64]
         self.context = {k: open_(f"context-{k}", kinds, model.bits if k > 1 else 0) for k in range(1, model.order + 1)}
 
@@ -303,7 +319,7 @@ class Scorer:
         p = np.full(len(hashes), 1.0 / (model.words + 1))
         for level in range(1, model.order + 1):
             words = back[:level][::-1]
-            n = self._each(self.ngram[level], _spelled(words))[0].astype(float)
+            n = self._counts(level, _spelled(words))
             context = _spelled(words[:-1]) if level > 1 else np.zeros(len(hashes), U64)
             one, two, more, total = (x.astype(float) for x in self._each(self.context[level], context))
             d = np.array([0.0, *model.discounts.get(level, [0.5, 1.0, 1.5])])
@@ -312,6 +328,12 @@ class Scorer:
             p = np.where(total > 0, (np.maximum(n - taken, 0) + left * p) / np.maximum(total, 1), p)
         return seen, p
 
+    def _counts(self, level: int, ngrams: np.ndarray) -> np.ndarray:
+        n = self._each(self.ngram[level], ngrams)[0].astype(float)
+        full = n == 255
+        n[full] = self._each(self.many[level], ngrams[full])[0]
+        return n
+
     @staticmethod
     def _each(arrays: Arrays, wanted: np.ndarray) -> list[np.ndarray]:
         distinct, back = np.unique(wanted, return_inverse=True)
