@@ -331,10 +331,10 @@ register(
         "column", "col_type", "null_pct", "description"
     ),
     """SELECT 'p_brand' AS "column", 'dimension' AS col_type, 0.0::DOUBLE AS null_pct,
-      'A categorical grouping or label. Useful for segmentation; will be encoded before model training. '
+      'Puts rows into groups; models need it encoded. '
       || count(DISTINCT p_brand) || ' distinct values.' AS description FROM part
     UNION ALL SELECT 'p_size', 'metric', 0.0,
-      'A numeric measurement or quantity. Strong candidate as a prediction target or input feature. Range: '
+      'Holds measured numbers, fit to predict or to be predicted. Range: '
       || printf('%.2f', min(p_size)::DOUBLE) || ' – ' || printf('%.2f', max(p_size)::DOUBLE)
       || ' (avg ' || printf('%.2f', avg(p_size)) || ').' FROM part""",
 )

@@ -50,7 +50,9 @@ def freeze(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        # Only a session without that setting (tests, one machine) gets a folder of its own.
+        # One machine's session may leave the setting out; elsewhere executors would not see each other's files.
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="framewise-checkpoint-"))
     return df.checkpoint()
 

@@ -107,7 +107,7 @@ def spec_groupby(
     keys = [g for g in group_by if g in df.columns]
     metrics = {c: f for c, f in aggregate.items() if c in df.columns}
     if not keys or not metrics:
-        raise ValueError("Couldn't identify the grouping or metric columns")
+        raise ValueError("Name a column to group by and a metric that exist")
     unknown = [f for f in metrics.values() if f not in SPEC_AGGREGATES]
     if unknown:
         raise ValueError(f"Unsupported aggregation '{unknown[0]}'")
@@ -484,7 +484,7 @@ def target_correlations(df: DataFrame, target: str, top_n: int = 10) -> DataFram
     require_numeric(df, target)
     others = numeric_columns(df, exclude=[target])
     if not others:
-        raise ValueError("No other numeric columns found to correlate against")
+        raise ValueError("The target is the only numeric column")
     r = correlations(df, [(target, c) for c in others])
     rows = r.where((F.col("pairs") >= 3) & F.col("r").isNotNull()).select(
         F.col("col_b").alias("column"), F.round("r", 4).alias("correlation")

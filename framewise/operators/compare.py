@@ -177,7 +177,7 @@ def compare_time_windows(
     require_columns(df, date_col)
     names = numeric_columns(df, exclude=[date_col])
     if not names:
-        raise ValueError("No numeric columns available for comparison")
+        raise ValueError("There is no numeric column to compare")
     t = parse_timestamp(ref(date_col), field_type(df, date_col))
 
     def inside(period: tuple[str, str, str]):

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewise.functions.columns import (
-    DATE_LIKE,
     as_text,
     field_type,
     is_float,
@@ -28,7 +28,7 @@ from framewise.functions.columns import (
 from framewise.functions.quantiles import group_percentiles
 from framewise.functions.scale import broadcast_if_small, row_positions
 from framewise.operators.aggregates import correlations, unpivot_numeric
-from framewise.operators.profile import adjusted_skewness, column_stats
+from framewise.operators.profile import DATE_SHARE, adjusted_skewness, column_stats, text_facts
 
 MAX_DUMMIES = 1_000
 MAX_SUGGESTIONS = 12
@@ -78,12 +78,19 @@ def _label_text(df: DataFrame, column: str) -> Column:
 
 
 def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """A 0/1 column per value. The distinct values become the schema, so they are read first."""
+    """A 0/1 column per value, the distinct values becoming the schema.
+
+    Above ``MAX_DUMMIES`` values, more than a schema holds well, one sparse vector column ``{column}_onehot`` over the
+    values in text order.
+    """
     require_columns(df, column)
     text = _label_text(df, column)
     found = df.select(text.alias("v")).distinct().orderBy("v").limit(MAX_DUMMIES + 1).collect()
     if len(found) > MAX_DUMMIES:
-        raise ValueError(f"'{column}' has more than {MAX_DUMMIES} values; label-encode it instead")
+        labels = row_positions(df.select(text.alias("_label")).distinct(), [F.col("_label")], "_index")
+        indexed = df.drop(f"{column}_onehot").join(broadcast_if_small(labels), text == F.col("_label"), "left")
+        encoder = OneHotEncoder(inputCol="_index", outputCol=f"{column}_onehot", dropLast=False)
+        return encoder.fit(indexed.select("_index")).transform(indexed).drop("_label", "_index")
     return df.withColumns({f"{column}_{r.v}": (text == r.v).cast("int") for r in found})
 
 
@@ -134,8 +141,11 @@ def suggest_features(df: DataFrame) -> DataFrame:
             F.lit(kind).alias("transform_type"),
         )
 
-    date_like = column.isin(texts or [""]) & F.col("sample_values")[0].rlike(DATE_LIKE)
-    date_like = F.coalesce(date_like, F.lit(False))
+    date_like = F.lit(False)
+    if texts:
+        # One row per text column.
+        stats = stats.join(F.broadcast(text_facts(df, texts)), "column", "left")
+        date_like = F.coalesce(F.col("date_share") >= DATE_SHARE, F.lit(False))
     parts = [suggestion(stats.where(date_like), 1, "date_decompose", F.col("ordinal"))]
     if numeric:
         measures, structs = [], []

@@ -213,12 +213,12 @@ def anomaly_scores(
     numeric = set(numeric_columns(df))
     wanted = [c for c in columns if c in numeric]
     if not wanted:
-        raise ValueError("No numeric features available for anomaly detection")
+        raise ValueError("Anomalies are looked for in numeric columns, and none was given")
     facts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(ref(c)).alias(f"c{i}") for i, c in enumerate(wanted)])
     counts = facts.first()
     features = [c for i, c in enumerate(wanted) if counts[f"c{i}"]]
     if not features:
-        raise ValueError("No numeric features available for anomaly detection")
+        raise ValueError("Anomalies are looked for in numeric columns, and none was given")
     long = unpivot_numeric(df, features).where(F.col("value").isNotNull())
     medians = {
         r["column"]: r["m"] for r in group_percentiles(long, ["column"], "value", {"m": 0.5}).collect()

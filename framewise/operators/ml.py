@@ -20,6 +20,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ BOOSTING_GRID = {
 }
 LOGISTIC_GRID = {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "max_iter": [500, 1000, 2000]}
 # Spark trees have a depth of at most 30; an unlimited depth means this.
-UNLIMITED_DEPTH = 12
+UNLIMITED_DEPTH = 30
 
 
 @dataclass
@@ -103,7 +104,7 @@ def fit_stats(
     require_columns(df, target)
     names = [f for f in features if f in df.columns]
     if not names:
-        raise ValueError("No valid feature columns found")
+        raise ValueError("None of the named features is a usable column")
     rows = df.where(ref(target).isNotNull())
     stats = FeatureStats(names, target, problem_type)
     numeric = [c for c in names if is_numeric(field_type(df, c))]
@@ -257,8 +258,27 @@ def decoded(stats: FeatureStats, prediction: Column) -> Column:
     """Prediction as shown: a number to 4 digits, or the class label."""
     if stats.problem_type == "regression":
         return F.round(prediction, 4)
-    labels = F.array(*[F.lit(str(c)) for c in stats.classes or []])
-    return F.element_at(labels, prediction.cast("int") + 1)
+    return F.element_at(class_labels(stats), prediction.cast("int") + 1)
+
+
+def class_labels(stats: FeatureStats) -> Column:
+    """The classes as text, written as Spark writes the target's values."""
+    return F.array(*[F.lit(c).cast("string") for c in stats.classes or []])
+
+
+def class_probabilities_of(scored: DataFrame) -> Column | None:
+    """Array of class probabilities of scored rows, None for models without any.
+
+    One-vs-rest boosting gives a margin per class: each becomes the probability of its class against the rest, and
+    these are made to add up to 1.
+    """
+    if "probability" in scored.columns:
+        return vector_to_array("probability")
+    if "rawPrediction" not in scored.columns:
+        return None
+    single = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    total = F.aggregate(single, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(single, lambda p: p / total)
 
 
 def _fit(
@@ -337,7 +357,7 @@ def train_many(
                     raise
                 model, elapsed, metrics = None, 0, {"error": str(exc)}
             models.append(TrainedModel(a, stats, model, metrics, elapsed, dict(params or {})))
-        if problem_type == "regression" and models[0].model is not None:
+        if problem_type == "regression":
             for m in models:
                 if m.model is not None:
                     # Population std of the training residuals: the band of later predictions.
@@ -581,7 +601,7 @@ def cross_validate(
     rows = df.where(ref(target).isNotNull())
     k = min(k, len(rows.limit(k).take(k)))
     if k < 2:
-        raise ValueError("Dataset too small to run cross-validation (need at least 2 rows)")
+        raise ValueError("Folds need two rows or more")
     by_class = target if problem_type == "classification" else None
     folded = _fold_rows(rows, key, k, by_class).persist()
     try:

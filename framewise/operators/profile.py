@@ -33,6 +33,8 @@ from framewise.operators.aggregates import (
 )
 
 SAMPLES = 5
+# Share of the values of a text column that must look like, or parse as, a date.
+DATE_SHARE = 0.8
 # Parts of names that hint at a date.
 DATE_NAME_PARTS = ("date", "time", "at", "day", "month", "year")
 DATE_COLUMN_HINTS = ("date", "time", "day", "week", "month", "year", "period", "dt", "ts")
@@ -46,6 +48,25 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per text column, over all non-missing values: the share that looks like a date and the mean length.
+
+    Blank values count as missing. One aggregate for all columns.
+    """
+    measures, structs = [], []
+    for i, c in enumerate(columns):
+        value = F.when(F.trim(ref(c)) != "", ref(c))
+        measures += [F.avg(value.rlike(DATE_LIKE).cast("double")).alias(f"d{i}"), F.avg(F.length(value)).alias(f"l{i}")]
+        structs.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.coalesce(F.col(f"d{i}"), F.lit(0.0)).alias("date_share"),
+                F.coalesce(F.col(f"l{i}"), F.lit(0.0)).alias("mean_length"),
+            )
+        )
+    return df.agg(*measures).select(F.inline(F.array(*structs)))
+
+
 def top_values(freq: DataFrame, k: int) -> DataFrame:
     """The k most frequent non-missing values of each column, ranked.
 
@@ -222,9 +243,9 @@ def insights(df: DataFrame) -> DataFrame:
     )
     texts = text_columns(df)
     if texts:
-        dates = stats.where(
-            F.col("column").isin(texts) & F.col("sample_values")[0].rlike(DATE_LIKE)
-        )
+        # One row per column of the table.
+        facts = F.broadcast(text_facts(df, texts))
+        dates = stats.join(facts, "column").where(F.col("date_share") >= DATE_SHARE)
         found = found.unionByName(
             rows(dates, "date_column", F.lit("info"), F.col("column"), F.lit(None))
         )
@@ -411,18 +432,16 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
 
 
 def column_kind(df: DataFrame, column: str) -> str:
-    """numeric, date or categorical; text is a date when its name hints at it and its first values parse."""
+    """numeric, date or categorical; text is a date when its name hints at it and four values in five parse."""
     dtype = field_type(df, column)
     if is_numeric(dtype):
         return "numeric"
     if is_date(dtype):
         return "date"
     if is_text(dtype) and any(part in column.lower() for part in DATE_NAME_PARTS):
-        head = df.where(ref(column).isNotNull()).limit(5)
-        parsed = head.agg(
-            F.count(F.lit(1)).alias("n"), F.count(parse_timestamp(ref(column), dtype)).alias("ok")
-        ).first()
-        if parsed.n == parsed.ok:
+        value = F.when(F.trim(ref(column)) != "", ref(column))
+        parsed = df.agg(F.count(value).alias("n"), F.count(parse_timestamp(value, dtype)).alias("ok")).first()
+        if parsed.ok >= DATE_SHARE * parsed.n:
             return "date"
     return "categorical"
 
@@ -447,19 +466,21 @@ def column_distribution(df: DataFrame, column: str) -> DataFrame:
     return top.select("rank", F.col("value").alias("label"), F.col("n").alias("count")).orderBy("rank")
 
 
-def detect_time_columns(df: DataFrame, sample: int = 10) -> DataFrame:
-    """Columns that hold times: timestamp types, or text where 80 % of a few non-missing values parse."""
+def detect_time_columns(df: DataFrame) -> DataFrame:
+    """Columns that hold times: timestamp types, or text where 80 % of the non-missing values parse."""
     none = df.sparkSession.range(1)
     found = [c for c in df.columns if is_date(field_type(df, c))]
     parts = [none.select(F.lit(c).alias("column"), F.lit(1.0).alias("parse_rate")) for c in found]
-    for c in text_columns(df):
-        head = df.where(ref(c).isNotNull()).select(ref(c).alias("_v")).limit(sample)
-        rate = head.agg(
-            F.avg(parse_timestamp(F.col("_v"), field_type(df, c)).isNotNull().cast("double")).alias(
-                "parse_rate"
-            )
-        )
-        parts.append(rate.select(F.lit(c).alias("column"), "parse_rate"))
+    texts = text_columns(df)
+    if texts:
+        shares = [
+            F.avg(
+                F.when(F.trim(ref(c)) != "", parse_timestamp(ref(c), field_type(df, c)).isNotNull().cast("double"))
+            ).alias(f"r{i}")
+            for i, c in enumerate(texts)
+        ]
+        named = [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("parse_rate")) for i, c in enumerate(texts)]
+        parts.append(df.agg(*shares).select(F.inline(F.array(*named))))
     if not parts:
         return none.select(F.lit("").alias("column"), F.lit(0.0).alias("parse_rate")).limit(0)
     result = parts[0]

@@ -8,11 +8,19 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions.columns import ref
-from framewise.operators.ml import FeatureStats, TrainedModel, decoded, encode, importance_map
+from framewise.operators.ml import (
+    FeatureStats,
+    TrainedModel,
+    class_labels,
+    class_probabilities_of,
+    decoded,
+    encode,
+    importance_map,
+)
 from framewise.operators.validation import explain_rows
 
 MAX_SCENARIOS = 10
@@ -32,8 +40,8 @@ def score_batch(df: DataFrame, trained: TrainedModel) -> DataFrame:
         confidence = F.lit(None).cast("double")
     else:
         lower = upper = F.lit(None).cast("double")
-        known = "probability" in scored.columns
-        best = F.round(F.array_max(vector_to_array("probability")), 4) if known else F.lit(None)
+        shares = class_probabilities_of(scored)
+        best = F.lit(None) if shares is None else F.round(F.array_max(shares), 4)
         confidence = best.cast("double")
     return scored.select(
         *[ref(c) for c in names],
@@ -48,10 +56,10 @@ def score_batch(df: DataFrame, trained: TrainedModel) -> DataFrame:
 def class_probabilities(df: DataFrame, trained: TrainedModel, key: Sequence[str]) -> DataFrame:
     """Long form (key, class, probability) of a probabilistic classifier."""
     scored = trained.model.transform(encode(df, trained.stats))
-    if "probability" not in scored.columns:
+    shares = class_probabilities_of(scored)
+    if shares is None:
         raise ValueError(f"'{trained.algorithm}' gives no class probabilities")
-    labels = F.array(*[F.lit(str(c)) for c in trained.stats.classes or []])
-    pairs = F.arrays_zip(labels.alias("class"), vector_to_array("probability").alias("probability"))
+    pairs = F.arrays_zip(class_labels(trained.stats).alias("class"), shares.alias("probability"))
     long = scored.select(*[ref(k) for k in key], F.inline(pairs))
     return long.withColumn("probability", F.round("probability", 4))
 
@@ -87,50 +95,40 @@ def scenarios(
 ) -> DataFrame:
     """Each row under 1-10 labelled override sets against its base prediction, best and worst marked.
 
-    Base and scenarios are copies of the row, scored in one pass.
+    The row as it is and each case are scored one after another on the same row, so rows are never grouped and rows with
+    equal keys stay apart.
     """
     if not cases:
-        raise ValueError("At least one scenario is required")
+        raise ValueError("Give one scenario or more")
     if len(cases) > MAX_SCENARIOS:
-        raise ValueError(f"Maximum {MAX_SCENARIOS} scenarios allowed per request")
-    names = F.array(*[F.lit(label) for label, _ in cases])
-    # One scan: each row is repeated once per case (case 0 is the row as it is), then the overrides apply.
-    copies = df.withColumn("_case", F.explode(F.sequence(F.lit(0), F.lit(len(cases)))))
-    changed: dict[str, Column] = {}
-    for i, (_, overrides) in enumerate(cases, start=1):
+        raise ValueError(f"A call takes {MAX_SCENARIOS} scenarios, not more")
+    for _, overrides in cases:
         unknown = [c for c in overrides if c not in df.columns]
         if unknown:
             raise ValueError(f"Columns not found: {', '.join(unknown)}")
-        for c, v in overrides.items():
-            value = F.lit(v).cast(df.schema[c].dataType)
-            changed[c] = F.when(F.col("_case") == i, value).otherwise(changed.get(c, ref(c)))
-    scored = score_batch(copies.withColumns(changed), trained).select(
-        *[ref(k) for k in key], "_case", "prediction"
-    )
-    grouped = scored.groupBy(*[ref(k) for k in key]).agg(
-        F.max(F.when(F.col("_case") == 0, F.col("prediction"))).alias("base_prediction"),
-        # At most ten entries per row of the input.
-        F.collect_list(
-            F.when(
-                F.col("_case") > 0,
-                F.struct(F.element_at(names, F.col("_case")).alias("scenario"), "prediction"),
-            )
-        ).alias("_cases"),
-    )
-    long = grouped.select(*[ref(k) for k in key], "base_prediction", F.inline("_cases"))
+    touched = list(dict.fromkeys(c for _, overrides in cases for c in overrides))
+    rows = df.withColumns({**{f"_was_{c}": ref(c) for c in touched}, **{f"_key_{k}": ref(k) for k in key}})
+    for i, (_, overrides) in enumerate([("", {}), *cases]):
+        values = {c: F.lit(overrides[c]).cast(df.schema[c].dataType) if c in overrides else ref(f"_was_{c}") for c in touched}
+        rows = score_batch(rows.withColumns(values), trained).withColumnRenamed("prediction", f"_p{i}")
+        rows = rows.drop("confidence", "lower", "upper", "unseen")
     numeric = trained.stats.problem_type == "regression"
-    result = _change(long, numeric)
+    made = [F.struct(F.lit(label).alias("scenario"), F.col(f"_p{i}").alias("prediction")) for i, (label, _) in enumerate(cases, 1)]
+    deltas = [F.round(F.col(f"_p{i}") - F.col("_p0"), 4) for i in range(1, len(cases) + 1)] if numeric else []
+    rows = rows.select(
+        *[ref(f"_key_{k}").alias(k) for k in key],
+        F.col("_p0").alias("base_prediction"),
+        F.array(*made).alias("_cases"),
+        *([F.array_max(F.array(*deltas)).alias("_best"), F.array_min(F.array(*deltas)).alias("_worst")] if numeric else []),
+    )
+    kept = [c for c in rows.columns if c != "_cases"]
+    result = _change(rows.select(*[ref(c) for c in kept], F.inline("_cases")), numeric)
     if not numeric:
         return result.withColumns(
             {name: F.lit(None).cast("boolean") for name in ("is_best", "is_worst")}
         )
-    row = Window.partitionBy(*[ref(k) for k in key])
-    return result.withColumns(
-        {
-            "is_best": F.col("delta") == F.max("delta").over(row),
-            "is_worst": F.col("delta") == F.min("delta").over(row),
-        }
-    )
+    marks = {"is_best": F.col("delta") == F.col("_best"), "is_worst": F.col("delta") == F.col("_worst")}
+    return result.withColumns(marks).drop("_best", "_worst")
 
 
 def what_if(

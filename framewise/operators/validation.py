@@ -9,8 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from framewise.functions.columns import ladder, ref, require_columns
+from framewise.functions.columns import field_type, is_numeric, ladder, ref, require_columns
 from framewise.functions.quantiles import group_percentiles
 from framewise.operators.relational import sample_rows
 
@@ -38,13 +39,36 @@ def regression_metrics(
     )
 
 
+def _number_text(number: Column) -> Column:
+    """A number as text, whole ones without a point."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
+def _labels(df: DataFrame, first: str, second: str) -> tuple[Column, Column]:
+    """Both label columns as text of one common type: 1, 1.0 and '1' are one label, as are true and 'True'."""
+    kinds = [field_type(df, c) for c in (first, second)]
+
+    def text(name: str) -> Column:
+        plain = ref(name).cast("string")
+        if kinds[0] == kinds[1]:
+            return plain
+        if any(isinstance(k, BooleanType) for k in kinds):
+            return F.lower(plain)
+        if any(is_numeric(k) for k in kinds):
+            return F.coalesce(_number_text(ref(name).try_cast("double")), plain)
+        return plain
+
+    return text(first), text(second)
+
+
 def confusion(
     scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
     """Counts per (actual, predicted) label pair that occurs."""
     rows = scored.where(ref(actual).isNotNull() & ref(predicted).isNotNull())
     return rows.groupBy(
-        ref(actual).cast("string").alias("actual"), ref(predicted).cast("string").alias("predicted")
+        *[c.alias(n) for c, n in zip(_labels(rows, actual, predicted), ("actual", "predicted"), strict=True)]
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,7 +135,8 @@ def classification_metrics(
     present = F.col("support") > 0
 
     def either(name: str) -> Column:
-        binary = F.max_by(F.col(name), F.when(present, F.col("label")))
+        larger = F.struct(F.col("label").try_cast("double").alias("number"), F.col("label").alias("text"))
+        binary = F.max_by(F.col(name), F.when(present, larger))
         weighted = F.sum(F.col(name) * weight)
         return F.round(F.when(F.count_if(present) == 2, binary).otherwise(weighted), 4).alias(name)
 

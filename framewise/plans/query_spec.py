@@ -17,7 +17,7 @@ def run_query_spec(df: DataFrame, spec: dict[str, Any], order_by: Sequence[str]
     columns = [c for c in spec.get("columns") or [] if c in df.columns]
     if operation == "distribution":
         if not columns:
-            raise ValueError("Column not found")
+            raise ValueError("The request names no column of the table")
         return aggregates.distribution(df, columns[0])
     if operation in ("groupby", "top_n"):
         return aggregates.spec_groupby(
@@ -34,7 +34,7 @@ def run_query_spec(df: DataFrame, spec: dict[str, Any], order_by: Sequence[str]
     if operation == "correlation":
         numeric = [c for c in columns if c in numeric_columns(df)]
         if len(numeric) < 2:
-            raise ValueError("Need two numeric columns to show correlation")
+            raise ValueError("A correlation takes two numeric columns")
         return aggregates.spec_correlation(df, numeric[0], numeric[1])
     if operation == "filter":
         f = spec.get("filter") or {}

@@ -51,7 +51,7 @@ def extract_select(
     text = query_or_table.strip().rstrip(";")
     is_name = re.fullmatch(r"[\w.]+", text) is not None
     if not is_name and not re.match(r"(?i)select\b", text):
-        raise ValueError("Only SELECT queries are allowed")
+        raise ValueError("An extract must be a SELECT")
     if jdbc_options is not None:
         reader = spark.read.format("jdbc").options(**jdbc_options)
         df = (reader.option("dbtable", text) if is_name else reader.option("query", text)).load()
