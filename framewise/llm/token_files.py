@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +113,7 @@ class IdFile:
 
 #: White space of the tokenizer's pattern other than the space and the line feed.
 _OTHER_SPACE = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n |^ | $")
-STORE = 400_000
+STORE = 1_200_000
 
 
 class WordEncoder:
@@ -127,30 +128,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
-        self.store: dict[str, bytes] = {}
+        #: Ids of words after a space, and of texts' first words.
+        self.after: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self._parts(t) for t in texts]
-        words = set().union(*[p for p in plain if p])
-        wanted = sorted(words - self.store.keys())
-        if len(self.store) + len(wanted) > STORE:
-            self.store.clear()
-            wanted = sorted(words)
-        for a in range(0, len(wanted), 50_000):
-            part = wanted[a : a + 50_000]
-            got = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.store.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+        plain = [None if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = {p[0] for p in plain if p}
+        words = set().union(*[p[1:] for p in plain if p])
+        if len(self.after) + len(self.first) > STORE:
+            self.after.clear()
+            self.first.clear()
+        self._learn(self.first, heads, "")
+        self._learn(self.after, words, " ")
         whole = [t for t, p in zip(texts, plain, strict=True) if p is None]
         rest = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
-        find = self.store.__getitem__
-        return [b"".join(map(find, p)) if p is not None else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
-
-    @staticmethod
-    def _parts(text: str) -> list[str] | None:
-        if _OTHER_SPACE.search(text):
-            return None
-        first, *others = text.split(" ")
-        return [first, *[" " + w for w in others]]
+        find = self.after.__getitem__
+        out = []
+        for p in plain:
+            if p is None:
+                out.append(array("I", next(rest).ids).tobytes())
+            else:
+                found = list(map(find, p[1:]))
+                found.insert(0, self.first[p[0]])
+                out.append(b"".join(found))
+        return out
+
+    def _learn(self, store: dict[str, bytes], words: set[str], space: str) -> None:
+        wanted = list(words - store.keys())
+        for a in range(0, len(wanted), 50_000):
+            part = wanted[a : a + 50_000]
+            got = self.library.encode_batch_fast([space + w for w in part], add_special_tokens=False)
+            store.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
 
 
 _encoders: dict[int, WordEncoder] = {}
