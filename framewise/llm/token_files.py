@@ -47,7 +47,7 @@ def pack_block(ids: np.ndarray) -> tuple[int, int, int, bytes]:
     least = int(ids.min())
     rest = ids - np.uint32(least)
     needed = np.frexp(rest.astype(float))[1]
-    bits = int(np.sort(needed)[min(len(rest) - 1, int(np.ceil(SHARE * len(rest))) - 1)])
+    bits = int(np.searchsorted(np.cumsum(np.bincount(needed)), SHARE * len(rest)))
     odd = np.flatnonzero(needed > bits)
     body = [_pack(rest, bits), odd.astype("<u2").tobytes(), (rest[odd] >> np.uint32(bits)).astype("<u4").tobytes()]
     return least, bits, len(odd), b"".join(body)
@@ -56,7 +56,9 @@ def pack_block(ids: np.ndarray) -> tuple[int, int, int, bytes]:
 def _pack(values: np.ndarray, bits: int) -> bytes:
     if not bits:
         return b""
-    every = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    kind = "<u2" if bits <= 16 else "<u4"
+    width = np.dtype(kind).itemsize
+    every = np.unpackbits(values.astype(kind).view(np.uint8).reshape(-1, width), axis=1, bitorder="little")
     return np.packbits(every[:, :bits].ravel(), bitorder="little").tobytes()
 
 
@@ -67,9 +69,10 @@ def unpack_block(raw: memoryview, entry: np.void) -> np.ndarray:
     values = np.zeros(n, "<u4")
     if bits:
         packed = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * bits, bitorder="little")
-        wide = np.zeros((n, 32), np.uint8)
+        kind = np.dtype("<u2" if bits <= 16 else "<u4")
+        wide = np.zeros((n, 8 * kind.itemsize), np.uint8)
         wide[:, :bits] = packed.reshape(n, bits)
-        values = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+        values = np.packbits(wide, axis=1, bitorder="little").view(kind).ravel().astype("<u4")
     if odd:
         places = np.frombuffer(raw, "<u2", odd, at + size)
         values[places] |= np.frombuffer(raw, "<u4", odd, at + size + 2 * odd) << np.uint32(bits)
