@@ -239,7 +239,8 @@ def _joined(parts: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     linked = found.join(end("a"), "a", "left").join(end("b"), "b", "left")
     more = linked.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = connected_components(more, folder)
-    old = parts.select("node", "component").union(merged.select("node", "node").join(parts.select("node"), "node", "left_anti"))
+    new = merged.select("node").join(parts.select("node"), "node", "left_anti")
+    old = parts.select("node", "component").union(new.select("node", F.col("node").alias("component")))
     to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
     return stored(old.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), folder)
 
