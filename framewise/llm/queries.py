@@ -38,11 +38,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_URL = """
-    lower(regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 2)) AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 3) AS path
-"""
-
 _REVISIT_SQL = """
 WITH p AS (SELECT page_id, url, html, 1700000000 + (page_id * 7919) % 7776000 AS t, md5(coalesce(html, '')) AS d, length(coalesce(html, '')) AS n,
     CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 2)), '^(www|m)\\.', '')
@@ -82,7 +77,43 @@ URL_RULES = [
 ]
 
 
-@query("op2_url_filters")
+def _url_sql() -> str:
+    parts = "'(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)'"
+    part = lambda url, k: f"regexp_extract(coalesce({url}, ''), {parts}, {k})"
+    node = lambda u: f"lower({part(u, 1)}) || '://' || lower({part(u, 2)}) || {part(u, 3)} || {part(u, 4)}"
+    cut = "regexp_replace({}, '(/index)?(\\.html?|/)?$', '')".format
+    link = lambda tag, attribute: f"regexp_extract(regexp_extract(html, '{tag}'), '{attribute}', 1)"
+    quote = "[\"'']?"
+    links = (
+        link(rf"(?is)<link\b[^>]*?\brel\s*=\s*{quote}canonical\b[^>]*>", rf"(?is)\bhref\s*=\s*{quote}([^\"''\s>]+)"),
+        link(rf"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*{quote}refresh\b[^>]*>", rf"(?is)\burl\s*=\s*{quote}([^\"''\s>]+)"),
+    )
+    root = f"{part('url', 1)} || '://' || {part('url', 2)}"
+    resolved = f"""CASE WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN {part('url', 1)} || ':' || l WHEN starts_with(l, '/') THEN {root} || l
+      ELSE {root} || coalesce(nullif(regexp_replace({part('url', 3)}, '[^/]*$', ''), ''), '/') || l END"""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+p AS (SELECT page_id, url, html, lower({part('url', 2)}) AS host, {part('url', 3)} AS path, CASE WHEN contains(url, '://') THEN {node('url')} END AS node,
+    CASE WHEN contains(url, '://') THEN lower({part('url', 1)}) || '://' || lower({part('url', 2)}) || {cut(part('url', 3))} END AS canon,
+    CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower({part('url', 2)}), '^(www|m)\\.', '') || {cut(part('url', 3))} END AS bare FROM pages),
+l AS (SELECT url, node, {links[0]} AS l FROM p UNION ALL SELECT url, node, {links[1]} FROM p),
+e(a, b) AS (SELECT node, canon FROM p UNION SELECT canon, bare FROM p UNION SELECT node, {node("r")} FROM (SELECT node, {resolved} AS r FROM l WHERE l <> '') WHERE contains(r, '://')),
+sides(a, b) AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+reach(a, b) AS (SELECT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+parts AS (SELECT a AS node, min(b) AS component, lower({part('a', 2)}) AS host, {part('a', 3)} AS path FROM reach GROUP BY a),
+verdicts AS (SELECT host, path, rule_host || rule_path AS rule, rule_verdict,
+    row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, rule_verdict = 'allow' DESC) AS k
+  FROM (SELECT host, path FROM parts UNION SELECT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+own AS (SELECT * FROM verdicts WHERE k = 1),
+decided AS (SELECT component, CASE WHEN bool_or(rule_verdict = 'allow') THEN 'allow' ELSE 'block' END AS alias FROM parts JOIN own USING (host, path) GROUP BY component)
+SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, alias, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS basis
+FROM p LEFT JOIN own ON p.host = own.host AND p.path = own.path LEFT JOIN parts ON p.node = parts.node LEFT JOIN decided ON parts.component = decided.component
+"""
+
+
+@query("op2_url_filters", _url_sql())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
