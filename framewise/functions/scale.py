@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SMALL_INPUT_CONF = "spark.framewise.smallInputBytes"
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+FEW_ROWS = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -57,6 +58,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """Freeze a table that is small by nature, count its rows, and broadcast it when there are at most ``FEW_ROWS``.
+
+    Catalyst takes the size of an aggregate for that of its input, so the other side would be shuffled on what may be
+    a handful of keys. Give narrow rows; a larger table is joined as Spark sees fit.
+    """
+    frozen = freeze(df)
+    return F.broadcast(frozen) if frozen.count() <= FEW_ROWS else frozen
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

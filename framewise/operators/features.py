@@ -26,7 +26,7 @@ from framewise.functions.columns import (
     require_numeric,
 )
 from framewise.functions.quantiles import group_percentiles
-from framewise.functions.scale import broadcast_if_small, row_positions
+from framewise.functions.scale import broadcast_if_few, broadcast_if_small, row_positions
 from framewise.operators.aggregates import correlations, unpivot_numeric
 from framewise.operators.profile import DATE_SHARE, adjusted_skewness, column_stats, text_facts
 
@@ -109,7 +109,7 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
         F.col("label").alias("_label"), F.col("index").cast("int").alias(name)
     )
     text = as_text(ref(column), field_type(df, column))
-    joined = df.drop(name).join(broadcast_if_small(labels), text == F.col("_label"), "left")
+    joined = df.drop(name).join(broadcast_if_few(labels), text == F.col("_label"), "left")
     return joined.drop("_label").withColumn(name, F.coalesce(ref(name), F.lit(-1)))
 
 

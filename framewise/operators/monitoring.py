@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.columns import ladder, ladder_below, ladder_up_to, ref, seconds
-from framewise.functions.scale import row_positions
+from framewise.functions.scale import broadcast_if_few, row_positions
 from framewise.operators.joins import pair_feedback
 from framewise.sources.logs import json_label
 
@@ -37,6 +37,9 @@ def predictions_by_day(log: DataFrame, days: int | None = None, as_of: str | Non
         high = F.date_add(end, 1).cast("timestamp_ntz")
         at = F.col("created_at").cast("timestamp_ntz")
         rows = log.where((at >= low) & (at < high))
+        if "log_date" in log.columns:
+            # The folders of those days alone are read, with a day to spare for the writer's time zone.
+            rows = rows.where(F.col("log_date").between(F.date_sub(end, days), F.date_add(end, 1)))
     return rows.groupBy(
         "deployment_id", F.date_format("created_at", "yyyy-MM-dd").alias("date")
     ).agg(F.count(F.lit(1)).alias("count"))
@@ -50,6 +53,8 @@ def prediction_histogram(log: DataFrame) -> DataFrame:
     spans = rows.groupBy("deployment_id").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.round(F.avg("_v"), 4).alias("recent_avg")
     )
+    # A row per deployment: the log is not shuffled on its few ids.
+    spans = broadcast_if_few(spans)
     width = (F.col("_hi") - F.col("_lo")) / BUCKETS
     spot = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BUCKETS - 1)))
     placed = rows.join(spans, "deployment_id").select(

@@ -5,8 +5,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from framewise.functions import scale
-from framewise.operators import features, ml, profile, quality, scoring, validation
+from framewise.operators import features, ml, monitoring, profile, quality, scoring, validation
 from framewise.plans.features import apply_transforms
+from framewise.sources.logs import append_prediction_log
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,19 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scale.freeze(type("Frame", (), {"sparkSession": Session()})())
+
+
+def test_log_is_not_shuffled_on_its_few_deployments(spark):
+    rows = [(f"d{i % 2}", float(i)) for i in range(50)]
+    log = spark.createDataFrame(rows, "deployment_id string, prediction_numeric double")
+    plan = monitoring.prediction_histogram(log)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_day_ranges_prune_the_log_folders(spark, tmp_path):
+    log = spark.createDataFrame([("d", f"2024-03-{d:02d} 10:00:00") for d in range(1, 11)], "deployment_id string, at string")
+    log = log.select("deployment_id", F.col("at").cast("timestamp").alias("created_at"))
+    append_prediction_log(log, str(tmp_path / "log"))
+    out = monitoring.predictions_by_day(spark.read.parquet(str(tmp_path / "log")), days=2, as_of="2024-03-05")
+    assert sorted(r.date for r in out.collect()) == ["2024-03-04", "2024-03-05"]
+    assert "log_date" in out._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
