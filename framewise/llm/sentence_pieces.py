@@ -27,9 +27,9 @@ from framewise.llm.storage import arrow_batches
 from framewise.llm.words import U64
 
 MARK = "▁"
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 #: Segments whose ids a worker keeps; the store is emptied when full, which changes no result.
-STORE = 600_000
+STORE = 250_000
 _START, _NONE = -2, -1
 _SLOT_BITS = 20
 _SEGMENT = re.compile(" +[^ ]*")
