@@ -10,7 +10,7 @@ in seconds has 3,600, and as hours.
 
 Defined cases: a revisit without URL, time or earlier response is ``no_response``; of responses at one time the
 largest record_id counts; a response at the revisit's own time is not earlier; header names are compared in lower case,
-and repeated names join their values with ``, `` in map order; null headers are no headers; repeated records resolve
+and repeated names join their values with ``, `` in the order of the names as written; null headers are no headers; repeated records resolve
 alike. Columns other than the six of a record are not read.
 """
 
@@ -31,7 +31,7 @@ FORBIDDEN = (
 
 def plain_headers(headers: Column) -> Column:
     """Headers with lower-case names; values of one name joined."""
-    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
     values = F.transform(
         names, lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", ")

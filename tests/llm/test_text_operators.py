@@ -273,7 +273,7 @@ def test_revisits(spark):
     df = clash(spark.createDataFrame(rows, RECORD), "key", "status", "response_id", "bucket")
     got = sorted(((r["record_id"], r["response_id"], r["status"], r["headers"], r["digest"]) for r in revisits.resolve_revisits(df).collect()), key=lambda r: r[0])
     assert got == [
-        (3, 2, "resolved", {"etag": '"y"', "date": "now, then"}, "d2"),
+        (3, 2, "resolved", {"etag": '"y"', "date": "then, now"}, "d2"),
         (4, None, "no_response", None, None),
         (5, 2, "mismatch", None, None),
         (7, 6, "resolved", {"last-modified": "m", "x": "1"}, "d6"),
