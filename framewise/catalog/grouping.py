@@ -235,6 +235,21 @@ register(
         AS duplicate_count FROM lineitem""",
 )
 
+# The same two over whole tables.
+register(
+    "iqr_outliers_whole_table",
+    lambda t: aggregates.iqr_outliers(t.events),
+    " UNION ALL ".join(outlier_sql(c, "events") for c in ("event_id", "user_id", "value")),
+)
+
+register(
+    "duplicates_whole_rows",
+    lambda t: aggregates.duplicate_count(t.lineitem.unionByName(t.lineitem.where(F.col("l_linenumber") == 1))),
+    """WITH b AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
+    SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b)) AS duplicate_count
+    FROM b""",
+)
+
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 register(

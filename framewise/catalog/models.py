@@ -26,8 +26,6 @@ def _customers(t: Tables):
 
 _PRICE_FEATURES = ["l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_returnflag"]
 _TIER_FEATURES = ["c_acctbal", "c_nationkey", "c_mktsegment"]
-# Shorter fits than the defaults: the catalogue checks behaviour, not accuracy.
-_SMALL = {"n_estimators": 10, "max_depth": 5, "max_iter": 30}
 
 
 def _clusters(t: Tables):
@@ -37,7 +35,7 @@ def _clusters(t: Tables):
 register("kmeans", lambda t: _clusters(t).groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
 register(
     "kmeans_auto",
-    lambda t: mining.clusters(t.supplier, ["s_nationkey", "s_acctbal"]),
+    lambda t: mining.clusters(t.supplier),
 )
 register("cluster_profiles", lambda t: mining.cluster_profiles(_clusters(t), _SHAPE))
 
@@ -81,9 +79,7 @@ def _linear(t: Tables):
 
 
 def _tiers(t: Tables, algorithm: str = "random_forest_classifier", target: str = "tier"):
-    return ml.train(
-        _customers(t), algorithm, _TIER_FEATURES, target, ["c_custkey"], "classification", _SMALL
-    )
+    return ml.train(_customers(t), algorithm, _TIER_FEATURES, target, ["c_custkey"], "classification")
 
 
 def _metrics(t: Tables, trained):
@@ -108,7 +104,6 @@ def _several(t: Tables):
         "score",
         ["o_orderkey"],
         "regression",
-        _SMALL,
     )
 
 
@@ -164,19 +159,17 @@ register(
         "active",
         ["c_custkey"],
         "classification",
-        n_iter=2,
-        folds=2,
     )[1],
 )
 register(
     "cv",
-    lambda t: ml.cross_validate(_priced(t), "linear_regression", _PRICE_FEATURES[:3], "paid", LINEITEM_KEY, k=3),
+    lambda t: ml.cross_validate(_priced(t), "linear_regression", _PRICE_FEATURES, "paid", LINEITEM_KEY),
 )
 register(
     "cv_stratified",
     lambda t: ml.cross_validate(
         _customers(t), "logistic_regression", ["c_acctbal", "c_nationkey"], "tier", ["c_custkey"],
-        "classification", k=2, params=_SMALL,
+        "classification",
     ),
 )
 

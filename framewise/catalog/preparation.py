@@ -102,6 +102,23 @@ register(
       3 AS before_columns, 3 AS after_columns FROM lineitem""",
 )
 
+
+def _dedupe_report_whole_rows(t: Tables):
+    before = t.lineitem.unionByName(t.lineitem.where(F.col("l_linenumber") == 1))
+    return cleaning.cleaning_report(before, clean(before, {"operation": "remove_duplicates"}), "remove_duplicates")
+
+
+register(
+    "cleaning_report_whole_rows",
+    _dedupe_report_whole_rows,
+    """WITH b AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1),
+    a AS (SELECT DISTINCT * FROM b)
+    SELECT 'remove_duplicates' AS operation, (SELECT count(*) FROM b) AS before_rows,
+      (SELECT count(*) FROM a) AS after_rows,
+      (SELECT count(*) FROM b) - (SELECT count(*) FROM a) AS modified_count,
+      11 AS before_columns, 11 AS after_columns""",
+)
+
 register(
     "clean_filter_rows",
     lambda t: clean(

@@ -139,6 +139,9 @@ register(
     ),
 )
 
+# Every column and section; the quantiles and correlations of a whole table have SQL in queries of their own.
+register("full_profile_whole_table", lambda t: profile.full_profile(t.events))
+
 register(
     "insights",
     lambda t: profile.insights(_gappy_part(t).withColumn("day", F.lit("2024-01-05"))).withColumn(
@@ -298,6 +301,16 @@ register(
       (SELECT DISTINCT l_returnflag, l_quantity, l_discount FROM lineitem))) / count(*) * 100 AS p FROM lineitem)""",
 )
 
+register(
+    "readiness_duplicates_whole_rows",
+    lambda t: quality.duplicate_score(t.lineitem.unionByName(t.lineitem.where(F.col("l_linenumber") == 1))),
+    """WITH b AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
+    SELECT 'duplicate_rows' AS component, CASE WHEN p >= 20 THEN 5 WHEN p >= 5 THEN 12 WHEN p > 0 THEN 17
+        ELSE 20 END AS score, 20 AS max_score,
+      CASE WHEN p >= 20 THEN 'critical' WHEN p > 0 THEN 'warning' ELSE 'good' END AS status, round(p, 2) AS value
+    FROM (SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b))) / count(*) * 100 AS p FROM b)""",
+)
+
 register(
     "class_balance",
     lambda t: quality.class_balance(
@@ -394,6 +407,7 @@ register(
 )
 
 register("data_story_anomalies", lambda t: data_story(t.customer, ["c_custkey"]))
+register("data_story_whole", lambda t: data_story(t.customer, ["c_custkey"], target="c_acctbal"))
 
 register(
     "next_step",

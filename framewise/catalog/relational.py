@@ -197,6 +197,12 @@ register(
     """SELECT DISTINCT nullif(l_returnflag, 'N') AS flag, l_linestatus, l_quantity FROM lineitem""",
 )
 
+register(
+    "dedupe_whole_rows",
+    lambda t: relational.remove_duplicates(t.lineitem.unionByName(t.lineitem.where(F.col("l_linenumber") == 1))),
+    "SELECT DISTINCT * FROM lineitem",
+)
+
 register(
     "normalize_missing",
     lambda t: sources.normalize_missing(
