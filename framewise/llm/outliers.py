@@ -52,16 +52,17 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     n_lines counts lines with a word; n_dup_lines those equal to an earlier one; n_repeat_words the words inside
     five-word windows that occur twice or more, the first occurrence included.
     """
-    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    out = docs.withColumn("_body", body)
-    lines = F.filter(F.split("_body", "\n"), lambda x: x.rlike(WORD))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Words come from the trimmed text, lines from the text as it is: blanks at a line's ends belong to it.
+    out = docs.withColumns({"_body": F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), "_whole": whole})
+    lines = F.filter(F.split("_whole", "\n"), lambda x: x.rlike(WORD))
     out = out.withColumns(
         {
             "_words": F.when(F.col("_body") == "", F.array().cast("array<string>")).otherwise(F.split("_body", SPACES + "+")),
             "_lines": lines,
             "n_symbols": F.when(_has_symbol(), F.regexp_count("_body", F.lit(SYMBOLS))).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop("_body")
+    ).drop("_body", "_whole")
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
