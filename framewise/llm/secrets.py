@@ -1,6 +1,7 @@
 """Secret scans: candidate strings in texts, and a random forest that removes the false positives.
 
-Candidates are maximal runs of 16 or more token characters that hold a digit or follow an assignment. The forest
+Candidates are maximal runs of 16 or more token characters that hold a digit or follow an assignment; a run that
+begins with names and ``=`` (as in env files and URLs) is its value of 6 or more characters alone. The forest
 sees a candidate's length, its character transitions (class changes, and how likely its letter pairs are in words of
 the corpus), its dictionary coverage, its path and its neighbouring words. It is trained from labelled findings.
 
@@ -31,7 +32,12 @@ from pyspark.sql import functions as F
 from framewise.llm.storage import shared_folder, stored
 
 RUN = r"[A-Za-z0-9+/=_\-]{16,}"
+VALUE = r"[A-Za-z0-9+/=_\-]{12,}"
+#: Names with = at the begin of a run, where a value follows.
+NAMED = r"^(?:[A-Za-z_\-][A-Za-z0-9_\-]*=+){1,8}(?=[^=][A-Za-z0-9+/=_\-]{5})"
 AROUND = 64
+#: Runs that the text around a candidate can hold: each has 16 characters and one more beside it.
+RUNS_AROUND = 4
 MASK = "[SECRET]"
 TRAIN_ROWS = 20_000
 DICTIONARY_MIN = 5
@@ -55,7 +61,8 @@ _LETTERS = 28
 def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, _text_hash, place, candidate, before, after, path, position) of each candidate.
 
-    ``place`` counts all runs of a text from 0, ``position`` is the run's first character, from 0.
+    ``place`` counts all runs of a text from 0, ``position`` is the candidate's first character, from 0. ``before`` and
+    ``after`` are the text around the candidate, other runs included.
     """
     where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
     texts = docs.select("doc_id", "text", where.alias("path")).where(F.col("text").rlike(RUN))
@@ -63,20 +70,25 @@ def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
         "doc_id", "path", F.xxhash64("text").alias("_text_hash"),
         F.split("text", RUN, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"),
     )
+    tail = lambda array, i: F.when(i >= 0, F.right(F.get(array, i), F.lit(AROUND))).otherwise("")
+    head = lambda array, i: F.coalesce(F.left(F.get(array, i), F.lit(AROUND)), F.lit(""))
+    back, on = range(RUNS_AROUND, 0, -1), range(1, RUNS_AROUND + 1)
+    before = lambda i: [x for k in back for x in (tail("pieces", i - k), tail("runs", i - k))] + [tail("pieces", i)]
+    after = lambda i: [head("pieces", i + 1)] + [x for k in on for x in (head("runs", i + k), head("pieces", i + k + 1))]
     parts = F.transform(
         "runs",
         lambda x, i: F.struct(
             i.cast("long").alias("place"),
-            x.alias("candidate"),
-            F.right(F.get("pieces", i), F.lit(AROUND)).alias("before"),
-            F.left(F.get("pieces", i + 1), F.lit(AROUND)).alias("after"),
-            (F.length(F.get("pieces", i))).cast("long").alias("gap"),
+            F.regexp_replace(x, NAMED, "").alias("candidate"),
+            F.right(F.concat(*before(i), F.regexp_extract(x, NAMED, 0)), F.lit(AROUND)).alias("before"),
+            F.left(F.concat(*after(i)), F.lit(AROUND)).alias("after"),
+            (F.length(F.get("pieces", i)) + F.length(x)).cast("long").alias("gap"),
         ),
     )
     runs = cut.select("doc_id", "path", "_text_hash", F.explode(parts).alias("r")).select("doc_id", "path", "_text_hash", "r.*")
     one = runs.groupBy("doc_id", "_text_hash", "place").agg(*[F.first(c).alias(c) for c in ("candidate", "before", "after", "path", "gap")])
     earlier = Window.partitionBy("doc_id", "_text_hash").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    placed = one.withColumn("position", F.sum(F.col("gap") + F.length("candidate")).over(earlier) - F.length("candidate"))
+    placed = one.withColumn("position", F.sum("gap").over(earlier) - F.length("candidate"))
     wanted = F.col("candidate").rlike("[0-9]") | F.col("before").rlike(ASSIGNED)
     return placed.where(wanted).select(*_FINDING)
 
@@ -162,15 +174,12 @@ def _fraction(hashed: Column) -> Column:
 
 
 def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Labelled findings (key, candidate, before, after, path, secret) from about ``rows`` / 14 documents.
+    """Labelled findings (key, candidate, before, after, path, secret), about ``rows`` of them.
 
-    Each document gives four secrets in settings and ten harmless strings; digests of its doc_id make the strings,
-    words of its text, from places that a hash picks, stand around them.
+    Each document gives secrets in settings, env files, URLs and running text, and harmless strings in the same places;
+    digests of its doc_id make the strings, words of its text, from places that a hash picks, stand around them, and
+    paths are drawn alike for both.
     """
-    share = rows / (14 * max(1, docs.count()))
-    picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    picked = picked.where(_fraction(F.xxhash64("doc_id", F.lit(SEED))) < share)
-    picked = picked.groupBy("doc_id").agg(F.max("text").alias("text"))
     seed = lambda k: F.concat_ws(":", F.lit(k), F.col("doc_id").cast("string"))
     word = lambda k: F.coalesce(F.get("words", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.size("words"))), F.lit("the"))
     hexed = lambda k, n: F.left(F.sha2(seed(k), 256), F.lit(n))
@@ -178,6 +187,8 @@ def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     digits = lambda k, n: F.left(F.concat(F.lit("4"), F.abs(F.xxhash64("doc_id", F.lit(k))).cast("string"), F.lit("0000000000000000")), F.lit(n))
     names = F.array(*[F.lit(x) for x in ("token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret")])
     name = lambda k: F.get(names, F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(7)))
+    long_names = F.array(*[F.lit(x) for x in ("production_db_password", "aws_secret_access_key", "stripe_live_secret_key", "github_personal_access_token", "internal_service_auth_token")])
+    long_name = lambda k: F.get(long_names, F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(5)))
     letters = F.regexp_replace(F.concat(*[word(k) for k in range(20, 26)]), "[^A-Za-z]", "")
     lit = F.lit
     kinds = [
@@ -195,12 +206,31 @@ def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         (False, F.concat_ws("/", word(30), word(31), word(32), lit("v2")), (" ",), " "),
         (False, F.concat(lit("example_"), name(4), lit("_1234567890")), (" ", name(4), ' = "'), '" '),
         (False, F.concat(letters, lit("-2024")), (" title = ",), " "),
+        (True, hexed("n", 64), (" ", long_name(6), ' = "'), '" '),
+        (True, base("o", 40), ("\n", F.upper(long_name(7)), "="), "\n"),
+        (True, hexed("p", 32), (" https://api.example.net/v1/items?page=2&", name(8), "="), "&sort=up "),
+        (True, base("q", 12), ("\n", F.upper(long_name(9)), "="), "\n"),
+        (True, base("r", 18), (" ", name(10), ": '"), "' "),
+        (True, base("s", 40), (" the ", name(11), " is "), " "),
+        (True, hexed("t", 40), ("\n", F.upper(name(12)), "="), "\n"),
+        (False, hexed("u", 40), ("\nBUILD_COMMIT_REVISION=",), "\n"),
+        (False, hexed("v", 64), (' package_sha256_checksum = "',), '" '),
+        (False, digits("w", 16), (" https://shop.example.net/view?page=2&order=",), "&sort=up "),
+        (False, hexed("x", 40), (" ", name(13), ' = "', hexed("y", 24), '" commit '), " "),
+        (False, digits("z", 16), (" ", name(14), ' = "', hexed("A", 24), '" and card '), " "),
+        (False, F.concat_ws("_", word(33), word(34), lit("report_v2")), ("\nDEFAULT_TITLE_NAME=",), "\n"),
+        (False, hexed("B", 32), (" document_uuid: '",), "' "),
     ]
+    picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    picked = picked.where(_fraction(F.xxhash64("doc_id", F.lit(SEED))) < rows / (len(kinds) * max(1, docs.count())))
+    picked = picked.groupBy("doc_id").agg(F.max("text").alias("text"))
+    paths = F.array(*[F.lit(x) for x in ("", "src/main.py", "app/config.yml", ".env", "tests/test_main.py", "docs/index.md", "src3")])
+    path = F.get(paths, F.pmod(F.xxhash64("doc_id", F.lit("path"), "f.kind"), F.lit(7)))
     made = F.array(
         *[
             F.struct(
                 lit(k).alias("kind"),
-                F.regexp_extract(c, RUN, 0).alias("candidate"),
+                F.regexp_extract(c, VALUE, 0).alias("candidate"),
                 F.concat(word(2 * k + 50), lit(" "), word(2 * k + 51), *[x if isinstance(x, Column) else lit(x) for x in before]).alias("before"),
                 F.concat(lit(after), word(k + 90)).alias("after"),
                 lit(secret).alias("secret"),
@@ -209,7 +239,7 @@ def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         ]
     )
     planted = picked.withColumn("words", F.split("text", r"\s+")).select("doc_id", F.explode(made).alias("f"))
-    return planted.where(F.col("f.candidate") != "").select(F.concat_ws(":", "doc_id", "f.kind").alias("key"), "f.*", lit("").alias("path")).drop("kind")
+    return planted.where(F.col("f.candidate") != "").select(F.concat_ws(":", "doc_id", "f.kind").alias("key"), "f.*", path.alias("path")).drop("kind")
 
 
 def train_forest(features: DataFrame, rows: int = TRAIN_ROWS) -> PipelineModel:
@@ -252,6 +282,6 @@ def mask_secrets(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> Data
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     joined = docs.join(marked, same, "left")
     runs = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
-    hidden = F.transform(runs, lambda x, i: F.when(F.array_contains("_places", i.cast("long")), F.lit(mask)).otherwise(x))
+    hidden = F.transform(runs, lambda x, i: F.when(F.array_contains("_places", i.cast("long")), F.concat(F.regexp_extract(x, NAMED, 0), F.lit(mask))).otherwise(x))
     new = F.array_join(F.zip_with(F.split("text", RUN, -1), hidden, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return joined.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(new)).select(*docs.columns)
