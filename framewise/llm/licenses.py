@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HINT = r"(?i)licen[sc]e|warrant|permission|redistribut|public domain"
-STOP = r"(?<=[.!?;:])[\x20\t\r\n]+|\n[\x20\t\r]*\n\s*"
+# A line of comment marks alone is blank, and ; at the begin of a line is such a mark.
+STOP = r"(?:(?<=[.!?:])|(?<=[^\n];))[\x20\t\r\n]+|\n[\x20\t\r]*(?:[/#*;%\-]+[\x20\t\r]*)?\n\s*"
 LINE_STOP = r"(?<=[.!?;:])[\x20\t\r\n]+|\n"
 OTHER = r"[^\p{L}\p{N}]+"
 
@@ -82,11 +83,13 @@ def normalised(sentence):
 
 
 def known_tables(spark: SparkSession, sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[DataFrame, DataFrame]:
-    """(sentence, id) normalised, with the parts that the sentence cutter makes of a sentence as its key; and
-    (rule, licence, ids)."""
+    """(sentence, id) normalised, one row for each part that the sentence cutter makes of a sentence; and
+    (rule, licence, ids, n), with the ids of the parts and the number of sentences."""
     check_rules(sentences, rules)
-    known = spark.createDataFrame(list(sentences.items()), "id string, text string")
-    given = spark.createDataFrame([(k, name, ids) for k, (name, ids) in enumerate(rules)], "rule int, licence string, ids array<string>")
+    parts = {i: [(f"{i}#{k}" if k else i, x) for k, x in enumerate(re.split(STOP, text))] for i, text in sentences.items()}
+    known = spark.createDataFrame([x for p in parts.values() for x in p], "id string, text string")
+    given = [(k, name, [x for i in ids for x, _ in parts[i]], len(ids)) for k, (name, ids) in enumerate(rules)]
+    given = spark.createDataFrame(given, "rule int, licence string, ids array<string>, n int")
     return known.select(normalised(F.col("text")).alias("sentence"), "id"), given
 
 
@@ -110,7 +113,7 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     joined = heads.join(given.withColumn("first", F.get("ids", F.lit(0))), "first")
     hits = joined.where(F.slice("found", F.col("at") + 1, F.size("ids")) == F.col("ids"))
     place = ["doc_id", "text_hash", "way", "at"]
-    longest = hits.groupBy(*place).agg(F.max_by(F.struct("licence", F.size("ids").alias("n")), F.struct(F.size("ids"), -F.col("rule"))).alias("b"))
+    longest = hits.groupBy(*place).agg(F.max_by(F.struct("licence", "n"), F.struct(F.size("ids"), -F.col("rule"))).alias("b"))
     per_way = longest.groupBy("doc_id", "text_hash", "way", "b.licence").agg(F.count(F.lit(1)).alias("m"), F.max("b.n").alias("n"))
     return per_way.groupBy("doc_id", "text_hash", "licence").agg(
         F.max("m").cast("long").alias("n_matches"), F.max("n").cast("long").alias("n_sentences")
