@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
+    bayes_minhash,
     decontamination,
     kneser_ney,
     licenses,
+    mean_ordered_kmeans,
+    merkle_manifest,
     outliers,
     parity_join,
     revisits,
@@ -214,3 +217,81 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
     return token_files.read_ids(token_files.write_ids(table(spark, folder, "documents"), tokenizer))
+
+
+@query("op11_bayes_minhash")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the documents under Jaccard similarity of two-word shingles of 0.8 or more."""
+    return bayes_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def _kmeans_sql(clusters: int = 8, rounds: int = 10, size: int = 64) -> str:
+    def assigned(k: int) -> str:
+        # Both lists are walked by place; the sums are exact integers.
+        gap = f"list_sum(list_transform(generate_series(1, {size}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+        near = f"SELECT row_id, vec_id, v, number, {gap} AS distance FROM v CROSS JOIN c{k}"
+        return f"SELECT * FROM ({near}) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, number) = 1"
+
+    steps = []
+    for k in range(rounds):
+        sums = "SELECT number, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a, generate_series(1, {}) t(i) GROUP BY number, i".format(size)
+        floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+        moved = f"SELECT number, list({floor} ORDER BY i) AS c FROM m GROUP BY number"
+        steps.append(
+            f"c{k + 1} AS MATERIALIZED (WITH a AS MATERIALIZED ({assigned(k)}), m AS ({sums}), g AS ({moved}) "
+            f"SELECT number, coalesce(g.c, c{k}.c) AS c FROM c{k} LEFT JOIN g USING (number))"
+        )
+    fits = f"len(embedding) = {size} AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x) AND abs(x::DOUBLE) * 1024 <= 134217727, false)))"
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings WHERE {fits}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v AS c FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {clusters})),
+{", ".join(steps)}, last AS MATERIALIZED ({assigned(rounds)})
+SELECT vec_id, number::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY number))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM last JOIN c{rounds} USING (number)
+"""
+
+
+@query("op12_mean_ordered_kmeans", _kmeans_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distance and inertia of every usable vector."""
+    return mean_ordered_kmeans.cluster_vectors(table(spark, folder, "embeddings")).drop("centroid")
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE d AS (SELECT *, ('s' || source) AS key, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(generate_series(1, 8), lambda z: z::BIGINT)), lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) & 1 AS low
+  FROM documents),
+rows AS (SELECT doc_id, key, head || coalesce(strlen(text) || ':' || text, '-') AS whole, head || coalesce(strlen(got) || ':' || got, '-') AS received FROM (
+  SELECT doc_id, key, text, CASE WHEN low = 1 THEN replace(text, chr(10), '') ELSE text END AS got,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d)),
+leaves AS MATERIALIZED (SELECT doc_id, coalesce(key, '-') AS key, sha256(whole) AS leaf, sha256(received) AS received,
+    row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, sha256(whole)) - 1 AS pos FROM rows),
+up(key, level, pos, digest, n) AS (SELECT key, 0, pos, leaf, count(*) OVER (PARTITION BY key) FROM leaves
+  UNION ALL SELECT key, level + 1, pos, digest, count(*) OVER (PARTITION BY key) FROM (
+    SELECT key, level, pos // 3 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM up WHERE n > 1 GROUP BY key, level, pos // 3)),
+tree AS MATERIALIZED (SELECT * FROM up),
+subs AS MATERIALIZED (SELECT key, digest AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos FROM tree WHERE n = 1),
+over(level, pos, digest, n) AS (SELECT 0, pos, subroot, count(*) OVER () FROM subs
+  UNION ALL SELECT level + 1, pos, digest, count(*) OVER () FROM (SELECT level, pos // 3 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM over WHERE n > 1 GROUP BY level, pos // 3)),
+whole AS MATERIALIZED (SELECT key, level, pos, digest, n FROM tree UNION ALL SELECT '', level, pos, digest, n FROM over),
+sides AS MATERIALIZED (SELECT a.key, a.level, a.pos, a.n, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM whole a JOIN whole b ON a.key = b.key AND a.level = b.level AND a.pos // 3 = b.pos // 3 GROUP BY ALL),
+walk(id, key, level, pos, node, proof, own) AS (SELECT row_number() OVER (), key, 0, pos, received, '', key FROM leaves
+  UNION ALL SELECT w.id, CASE WHEN s.n = 1 THEN '' ELSE w.key END, CASE WHEN s.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN s.n = 1 THEN u.pos ELSE w.pos // 3 END,
+      CASE WHEN s.n = 1 THEN w.node ELSE sha256(s.l || w.node || s.r) END, CASE WHEN s.n = 1 THEN w.proof ELSE w.proof || s.l || s.r END, w.own
+    FROM walk w JOIN sides s ON w.key = s.key AND w.level = s.level AND w.pos = s.pos LEFT JOIN subs u ON u.key = w.key WHERE NOT (w.key = '' AND s.n = 1)),
+ends AS (SELECT w.* FROM walk w JOIN over o ON w.key = '' AND o.n = 1 AND w.level = o.level),
+named AS (SELECT row_number() OVER () AS id, * FROM leaves)
+SELECT doc_id, leaf, subroot, o.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = o.digest AS verified
+FROM ends JOIN named USING (id) JOIN subs ON subs.key = own JOIN over o ON o.n = 1
+"""
+
+
+@query("op13_merkle_manifest", _MERKLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document; every other document arrives without its line ends."""
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest.manifest(docs, {"text": text})
