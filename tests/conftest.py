@@ -30,9 +30,3 @@ def large_plans(spark):
 def table(spark):
     """Table from a schema string and rows. Its size is unknown to Spark, so the plans for large inputs run."""
     return lambda schema, rows: spark.createDataFrame(rows, schema)
-
-
-def rows(df, *order):
-    """Collected rows as tuples, sorted unless an order is kept by the caller."""
-    data = [tuple(r) for r in df.collect()]
-    return data if order else sorted(data, key=str)

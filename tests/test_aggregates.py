@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 
 from framewise.functions.quantiles import group_percentiles

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from collected import rows
 
 from framewise.operators import cleaning, features
 from framewise.plans.features import add_step, apply_transforms, remove_step
