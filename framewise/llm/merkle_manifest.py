@@ -6,8 +6,8 @@ doc_id (null first, equal ones by leaf); every ``ARITY`` consecutive nodes of a
 one node) become their H until one node remains, the source's subroot. Subroots in the order of their sources (null
 first, then UTF-8 bytewise) make the root in the same way.
 
-Positions come from one range exchange and counts per (partition, source). ``SPAN`` consecutive nodes are a superblock,
-the unit of all further work, so a hot source is many groups of bounded size. Going up, each superblock is reduced to
+Positions come from one range exchange and counts per (partition, source). ``ARITY ** depth`` consecutive nodes are a
+superblock, the unit of all further work, so a hot source is many groups of bounded size. Going up, each superblock is reduced to
 one node, and the nodes so made are leaves of the next pass; sources are a table like any other and may be many.
 Going down, a pass cogroups nodes with the outer nodes their superblock needs (siblings up to the root) in
 ``applyInPandas``: it redoes the local reduction, joins inner and outer siblings to whole proofs, and on the last pass
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from framewise.llm.storage import shared_folder, stored
 
-ARITY, DEPTH = 3, 7
-SPAN = ARITY**DEPTH
+ARITY = 3
+#: Levels of a superblock: 2,187 nodes.
+DEPTH = 7
 #: Offsets, one per partition and key, that may be broadcast.
 BROADCAST_RUNS = 50_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -50,11 +51,11 @@ def leaf_digest(changed: dict[str, Column] | None = None) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def reduce_levels(nodes: list[str], whole: bool) -> list[list[str]]:
-    """Levels of a superblock from its nodes up; ``whole`` when no other superblock stands beside it, so that one node
-    ends it, else it takes all ``DEPTH`` steps."""
-    levels = [nodes]
-    while len(levels[-1]) > 1 if whole else len(levels) <= DEPTH:
+def reduce_levels(nodes: list[str], count: int, depth: int) -> list[list[str]]:
+    """Levels of a superblock from its nodes up. One node ends it where its key's ``count`` nodes are all in it; beside
+    others it takes all ``depth`` steps."""
+    levels, alone = [nodes], count <= ARITY**depth
+    while len(levels[-1]) > 1 if alone else len(levels) <= depth:
         below = levels[-1]
         levels.append([_h("".join(below[i : i + ARITY])) for i in range(0, len(below), ARITY)])
     return levels
@@ -78,31 +79,32 @@ def fold(node: str, left: list[str], right: list[str]) -> str:
     return node
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, depth: int) -> DataFrame:
     """One node for each superblock of (key, n, pos, digest)."""
+    span = ARITY**depth
 
     def top(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
         n, pos = int(frame["n"].iloc[0]), int(frame["pos"].iloc[0])
-        levels = reduce_levels(frame["digest"].tolist(), n <= SPAN)
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "n": [-(-n // SPAN)], "pos": [pos // SPAN], "digest": [levels[-1][0]]})
+        levels = reduce_levels(frame["digest"].tolist(), n, depth)
+        return pd.DataFrame({"key": [frame["key"].iloc[0]], "n": [-(-n // span)], "pos": [pos // span], "digest": [levels[-1][0]]})
 
-    block = F.floor(F.col("pos") / SPAN)
+    block = F.floor(F.col("pos") / ARITY**depth)
     return nodes.select("key", "n", "pos", "digest").groupBy("key", block).applyInPandas(top, "key string, n long, pos long, digest string")
 
 
-def _exchange(nodes: DataFrame, outer: DataFrame, finish: Callable[[pd.DataFrame, list, list], pd.DataFrame], schema: str) -> DataFrame:
+def _exchange(nodes: DataFrame, outer: DataFrame, finish: Callable[[pd.DataFrame, list, list], pd.DataFrame], schema: str, depth: int) -> DataFrame:
     """Cogroup nodes with the outer siblings of their superblock; ``finish`` gets the sorted nodes and their whole proofs."""
 
     def join(frame: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
-        levels = reduce_levels(frame["digest"].tolist(), int(frame["n"].iloc[0]) <= SPAN)
+        levels = reduce_levels(frame["digest"].tolist(), int(frame["n"].iloc[0]), depth)
         up_left, up_right = list(above["left"].iloc[0]), list(above["right"].iloc[0])
         proofs = [siblings(levels, i) for i in range(len(frame))]
         left, right = [p[0] + up_left for p in proofs], [p[1] + up_right for p in proofs]
         return finish(frame.assign(subroot=above["subroot"].iloc[0], root=above["root"].iloc[0]), left, right)
 
-    block = F.floor(F.col("pos") / SPAN)
+    block = F.floor(F.col("pos") / ARITY**depth)
     return nodes.groupBy("key", block).cogroup(outer.groupBy("key", "pos")).applyInPandas(join, schema)
 
 
@@ -113,18 +115,18 @@ def _paths(frame: pd.DataFrame, left: list, right: list) -> pd.DataFrame:
 _PATHS = f"key string, pos long, subroot string, root string, {_PROOF}"
 
 
-def _pyramid(nodes: DataFrame, folder: str) -> list[DataFrame]:
+def _pyramid(nodes: DataFrame, folder: str, depth: int) -> list[DataFrame]:
     """The nodes and the tables of superblock nodes above them, the last with one node for each key."""
     levels = [nodes]
     while len(levels) == 1 or (levels[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        levels.append(stored(_tops(levels[-1]), folder))
+        levels.append(stored(_tops(levels[-1], depth), folder))
     return levels
 
 
-def _descend(levels: list[DataFrame], outer: DataFrame, folder: str) -> DataFrame:
+def _descend(levels: list[DataFrame], outer: DataFrame, folder: str, depth: int) -> DataFrame:
     """Proofs of the superblock nodes right above the first level, from those of the last."""
     for nodes in reversed(levels[1:-1]):
-        outer = stored(_exchange(nodes, outer, _paths, _PATHS), folder)
+        outer = stored(_exchange(nodes, outer, _paths, _PATHS, depth), folder)
     return outer
 
 
@@ -149,7 +151,7 @@ def positions(rows: DataFrame, order: list[str], folder: str) -> DataFrame:
     return placed.join(runs, ["key", "_part"]).withColumn("pos", F.col("_slot") + F.col("_offset")).drop("_part", "_slot", "_offset")
 
 
-def manifest(docs: DataFrame, received: dict[str, Column] | None = None, proofs: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, received: dict[str, Column] | None = None, proofs: bool = False, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, and with ``proofs`` the
     siblings themselves (left, right: by level, those before and after the node).
 
@@ -164,17 +166,17 @@ def manifest(docs: DataFrame, received: dict[str, Column] | None = None, proofs:
     placed = positions(rows, ["doc_id", "leaf"], folder)
     id_ = F.col("doc_id").cast("string").alias("id")
     leaves = stored(placed.select("key", "n", "pos", F.col("leaf").alias("digest"), "received", id_), folder)
-    up = _pyramid(leaves, folder)
+    up = _pyramid(leaves, folder, depth)
 
     # The sources in their order are the nodes of one more tree.
     sources = up[-1].select(F.lit("").alias("key"), F.col("key").alias("source"), "digest")
     sources = stored(positions(sources, ["source"], folder), folder)
-    top = _pyramid(sources, folder)
+    top = _pyramid(sources, folder, depth)
     none = F.array().cast("array<string>")
     root = top[-1].select("key", "pos", F.lit("").alias("subroot"), F.col("digest").alias("root"), none.alias("left"), none.alias("right"))
-    outer = _exchange(sources, _descend(top, root, folder), _sources, f"source string, digest string, root string, {_PROOF}")
+    outer = _exchange(sources, _descend(top, root, folder, depth), _sources, f"source string, digest string, root string, {_PROOF}", depth)
     outer = outer.select(F.col("source").alias("key"), F.lit(0).cast("long").alias("pos"), F.col("digest").alias("subroot"), "root", "left", "right")
-    outer = _descend(up, stored(outer, folder), folder)
+    outer = _descend(up, stored(outer, folder), folder, depth)
 
     def finish(frame: pd.DataFrame, left: list, right: list) -> pd.DataFrame:
         whole = [_h("".join(x + y for x, y in zip(a, b, strict=True))) for a, b in zip(left, right, strict=True)]
@@ -183,7 +185,7 @@ def manifest(docs: DataFrame, received: dict[str, Column] | None = None, proofs:
         return out.assign(left=left, right=right) if proofs else out
 
     schema = "id string, subroot string, root string, leaf string, proof_sha256 string, folded_root string"
-    done = _exchange(leaves, outer, finish, f"{schema}, {_PROOF}" if proofs else schema)
+    done = _exchange(leaves, outer, finish, f"{schema}, {_PROOF}" if proofs else schema, depth)
     names = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
     verified = (F.col("folded_root") == F.col("root")).alias("verified")
     return done.select(F.col("id").cast(kind).alias("doc_id"), *names, verified, *(["left", "right"] if proofs else []))
