@@ -1,7 +1,9 @@
 """Secret scans: candidate strings in texts, and a random forest that removes the false positives.
 
-Candidates are maximal runs of 16 or more token characters that hold a digit or follow an assignment; a run that
-begins with names and ``=`` (as in env files and URLs) is its value of 6 or more characters alone. The forest
+Candidates are of three forms: the value after an assignment whose name asks for a secret, of four or more characters
+and any alphabet up to white space, a quote, ``&``, ``,`` or ``;``; a dotted triple as in signed tokens, whole; and maximal
+runs of 16 or more token characters that hold a digit or follow an assignment, of which a run that begins with names and
+``=`` (as in env files and URLs) is its value of 6 or more characters alone. The forest
 sees a candidate's length, its character transitions (class changes, and how likely its letter pairs are in words of
 the corpus), its dictionary coverage, its path and its neighbouring words. It is trained from labelled findings.
 
@@ -14,7 +16,8 @@ Labelled findings are a table (key, candidate, before, after, path, secret). Whe
 the documents.
 
 Defined cases: null or empty texts have no candidates; rows with the same doc_id and text share their findings (a null
-doc_id is a value like others); text next to a candidate is looked at for ``AROUND`` characters, the candidate in full.
+doc_id is a value like others); without labelled findings of both kinds no forest can be fitted, and every candidate
+counts as a secret, with a null score; the time per candidate grows with its length alone; text next to a candidate is looked at for ``AROUND`` characters, the candidate in full.
 Columns other than doc_id, text and the path are not read.
 """
 
@@ -31,15 +34,23 @@ from pyspark.sql import functions as F
 
 from framewise.llm.storage import shared_folder, stored
 
-RUN = r"[A-Za-z0-9+/=_\-]{16,}"
-VALUE = r"[A-Za-z0-9+/=_\-]{12,}"
-#: Names with = at the begin of a run, where a value follows.
-NAMED = r"^(?:[A-Za-z_\-][A-Za-z0-9_\-]*=+){1,8}(?=[^=][A-Za-z0-9+/=_\-]{5})"
+_TOKEN = r"[A-Za-z0-9+/=_\-]"
+_NAME = r"[A-Za-z0-9_\-]"
+#: Words of names that ask for a secret.
+_ASK = r"(?i:token|secret|passw|pwd|passphrase|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?key)"
+#: Such a name, its assignment, and what may stand before the value.
+_ASKED = rf"(?<!{_NAME}){_NAME}{{0,60}}?{_ASK}{_NAME}{{0,20}}[\"'`]?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}(?:(?:Bearer|Basic)\s{{1,3}})?[\"'`]?"
+_REST = r"[^\s\"'`&,;]"
+RUN = rf"{_ASKED}{_REST}{{4,}}|{_NAME}{{10,}}\.{_NAME}{{10,}}\.{_NAME}{{10,}}|{_TOKEN}{{16,}}"
+VALUE = rf"{_REST}{{4,}}"
+#: What stands before the value in a run: an asking name with its assignment, or names with = where a value follows.
+NAMED = rf"^(?:{_ASKED}(?={_REST}{{4}})|(?:[A-Za-z_\-]{_NAME}*=+){{1,8}}(?=[^=]{_TOKEN}{{5}}))"
 AROUND = 64
-#: Runs that the text around a candidate can hold: each has 16 characters and one more beside it.
-RUNS_AROUND = 4
+#: Runs that the text around a candidate can hold: each has 8 characters and one more beside it.
+RUNS_AROUND = 7
 MASK = "[SECRET]"
 TRAIN_ROWS = 20_000
+STRETCH = 64
 DICTIONARY_MIN = 5
 TREES, DEPTH, SEED = 40, 8, 7
 THRESHOLD = 0.5
@@ -100,18 +111,27 @@ def corpus_dictionary(docs: DataFrame, least: int = DICTIONARY_MIN) -> DataFrame
     return counted.where(F.col("n") >= least)
 
 
-def _letter(text: Column, at: Column) -> Column:
-    """1-26 for a letter, 27 for a digit, 0 for others."""
-    code = F.ascii(F.substring(text, at, F.lit(1)))
-    return F.when(code.between(97, 122), code - 96).when(code.between(48, 57), F.lit(27)).otherwise(F.lit(0))
+def _codes(text: Column) -> Column:
+    """Per character 1-26 for a letter, 27 for a digit, 0 for others, in one pass over the text."""
+
+    def code(letter: Column) -> Column:
+        at = F.ascii(letter)
+        return F.when(at.between(97, 122), at - 96).when(at.between(48, 57), F.lit(27)).otherwise(F.lit(0))
+
+    return F.transform(F.split(text, ""), code)
+
+
+def _pairs(text: Column) -> Column:
+    """The pairs of neighbouring characters, each first * 28 + second."""
+    codes, n = _codes(text), F.length(text)
+    few = F.greatest(n - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, F.lit(1), few), F.slice(codes, F.lit(2), few), lambda a, b: a * _LETTERS + b)
 
 
 def pair_scores(dictionary: DataFrame) -> DataFrame:
     """One row: an array with the log probability of each pair of letters in the dictionary's words, by
     first * 28 + second; never-seen pairs count as half a time."""
-    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
-    pairs = dictionary.select("word", "n", at.alias("i"))
-    pairs = pairs.select((_letter(F.col("word"), F.col("i")) * _LETTERS + _letter(F.col("word"), F.col("i") + 1)).alias("pair"), "n")
+    pairs = dictionary.select(F.explode(_pairs(F.col("word"))).alias("pair"), "n")
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     every = dictionary.sparkSession.range(_LETTERS * _LETTERS).select(F.col("id").cast("int").alias("pair"))
     full = every.join(counts, "pair", "left").select("pair", (F.coalesce("n", F.lit(0)) + 0.5).alias("n"))
@@ -124,14 +144,13 @@ def finding_features(findings: DataFrame, keys: list[str], dictionary: DataFrame
     low, n = F.lower("candidate"), F.length("candidate")
     share = lambda pattern: F.regexp_count("candidate", F.lit(pattern)) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a")
-    at = F.sequence(F.lit(1), n - 1)
-    pair = lambda i: F.get("scores", _letter(low, i) * _LETTERS + _letter(low, i + 1))
+    likely = F.aggregate(_pairs(low), F.lit(0.0), lambda s, pair: s + F.get("scores", pair))
     flag = lambda c: c.cast("double")
     given = findings.select(*keys, "candidate", "before", "after", "path").crossJoin(F.broadcast(scores))
     near = F.substring_index(F.regexp_replace("before", r"[^A-Za-z0-9]+", " "), " ", -4)
     out = given.select(
         *keys,
-        "candidate",
+        _identity().alias("_id"),
         F.log(n).alias("length"),
         share("[0-9]").alias("digits"),
         share("[A-Z]").alias("uppers"),
@@ -139,7 +158,7 @@ def finding_features(findings: DataFrame, keys: list[str], dictionary: DataFrame
         (F.length(kinds) / n).alias("changes"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / n).alias("distinct"),
         flag(F.col("candidate").rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
-        (F.aggregate(at, F.lit(0.0), lambda s, i: s + pair(i)) / (n - 1)).alias("pair_score"),
+        (likely / (n - 1)).alias("pair_score"),
         flag(F.col("before").rlike(ASSIGNED)).alias("assigned"),
         flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).alias("quoted"),
         flag(F.col("before").rlike(ASKING)).alias("asked"),
@@ -150,22 +169,37 @@ def finding_features(findings: DataFrame, keys: list[str], dictionary: DataFrame
         flag(F.col("path").rlike(TEST_PATH)).alias("test_path"),
         flag(F.col("path").rlike(CONFIG_PATH)).alias("config_path"),
     )
-    covered = _coverage(given.select("candidate").distinct(), dictionary)
-    return out.join(covered, "candidate", "left").select(*keys, *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in FEATURES])
+    covered = _coverage(given.select("candidate"), dictionary)
+    return out.join(covered, "_id", "left").select(*keys, *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in FEATURES])
+
+
+def _identity() -> Column:
+    """What stands for a candidate of any length in joins and groups."""
+    return F.md5("candidate")
 
 
 def _coverage(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(candidate, coverage): share of characters inside dictionary words. Letter stretches are looked up substring by
-    substring in a join; the characters that a word adds to those before it are summed in order of place."""
-    at = F.explode(F.sequence(F.lit(1), F.length("candidate") - 3))
-    size = F.explode(F.sequence(F.lit(4), F.least(F.lit(8), F.length("candidate") - F.col("i") + 1)))
-    parts = candidates.select("candidate", at.alias("i")).select("candidate", "i", size.alias("k"))
-    parts = parts.withColumn("word", F.lower(F.substring(F.col("candidate"), F.col("i"), F.col("k")))).where(F.col("word").rlike("^[a-z]+$"))
-    found = parts.join(dictionary.select("word"), "word").groupBy("candidate", "i").agg((F.max("i") + F.max("k")).alias("end"))
-    before = Window.partitionBy("candidate").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    """(_id, coverage): share of a candidate's characters inside dictionary words.
+
+    Candidates are cut into stretches of ``STRETCH`` characters that overlap by a word less one letter; substrings of a
+    stretch are looked up in a join, so rows stay short at any length. The characters that a word adds to those before
+    it are summed in order of place.
+    """
+    each = candidates.groupBy(_identity().alias("_id")).agg(F.first(F.lower("candidate")).alias("low"))
+    cut = F.regexp_extract_all("low", F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    longer = F.zip_with(cut, F.slice(cut, F.lit(2), F.size(cut)), lambda x, y: F.concat(x, F.coalesce(F.left(y, F.lit(7)), F.lit(""))))
+    cuts = each.select("_id", F.length("low").alias("length"), F.posexplode(longer).alias("stretch", "part"))
+    size = F.length("part")
+    at = cuts.where(size >= 4).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(STRETCH), size - 3))).alias("at"))
+    parts = at.select("*", F.explode(F.sequence(F.lit(4), F.least(F.lit(8), size - F.col("at") + 1))).alias("k"))
+    i = F.col("stretch") * STRETCH + F.col("at")
+    parts = parts.select("_id", "length", i.alias("i"), "k", F.substring("part", F.col("at"), F.col("k")).alias("word"))
+    parts = parts.where(F.col("word").rlike("^[a-z]+$"))
+    found = parts.join(dictionary.select("word"), "word").groupBy("_id", "length", "i").agg((F.max("i") + F.max("k")).alias("end"))
+    before = Window.partitionBy("_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end").over(before), F.lit(0))
-    fresh = found.select("candidate", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("i"), reach)).alias("n"))
-    return fresh.groupBy("candidate").agg((F.sum("n") / F.first(F.length("candidate"))).alias("coverage"))
+    fresh = found.select("_id", "length", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("i"), reach)).alias("n"))
+    return fresh.groupBy("_id").agg((F.sum("n") / F.first("length")).alias("coverage"))
 
 
 def _fraction(hashed: Column) -> Column:
@@ -184,6 +218,8 @@ def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     word = lambda k: F.coalesce(F.get("words", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.size("words"))), F.lit("the"))
     hexed = lambda k, n: F.left(F.sha2(seed(k), 256), F.lit(n))
     base = lambda k, n: F.left(F.base64(F.unhex(F.sha2(seed(k), 256))), F.lit(n))
+    base_url = lambda k, n: F.translate(base(k, n), "+/=", "-_x")
+    marked = lambda c: F.translate(c, "AbCdEfG3+/", "!@#$%^*?~!")
     digits = lambda k, n: F.left(F.concat(F.lit("4"), F.abs(F.xxhash64("doc_id", F.lit(k))).cast("string"), F.lit("0000000000000000")), F.lit(n))
     names = F.array(*[F.lit(x) for x in ("token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret")])
     name = lambda k: F.get(names, F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(7)))
@@ -220,6 +256,16 @@ def planted_findings(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         (False, digits("z", 16), (" ", name(14), ' = "', hexed("A", 24), '" and card '), " "),
         (False, F.concat_ws("_", word(33), word(34), lit("report_v2")), ("\nDEFAULT_TITLE_NAME=",), "\n"),
         (False, hexed("B", 32), (" document_uuid: '",), "' "),
+        (True, base("C", 12), (" ", name(15), ' = "'), '" '),
+        (True, marked(base("D", 20)), (" ", name(16), ' = "'), '" '),
+        (True, marked(base("E", 10)), (" ", name(17), ": "), "\n"),
+        (True, F.concat_ws(".", F.concat(lit("eyJ"), hexed("F", 17)), F.concat(lit("eyJ"), base_url("G", 40)), base_url("H", 43)), (" Authorization: Bearer ",), "\n"),
+        (True, F.concat_ws(".", F.concat(lit("eyJ"), hexed("I", 17)), F.concat(lit("eyJ"), base_url("J", 40)), base_url("K", 43)), (" ",), " "),
+        (False, F.lower(word(35)), (" ", name(18), ": "), " "),
+        (False, F.concat_ws("_", lit("your"), name(19), lit("here")), (" ", name(19), ' = "'), '" '),
+        (False, F.concat(F.upper(word(36)), lit("_"), F.upper(word(37))), (" ", name(20), ' = "'), '" '),
+        (False, F.concat(lit("os.environ."), F.lower(word(38))), (" ", name(21), " = "), "\n"),
+        (False, F.concat_ws(".", F.concat(word(39), word(40), word(41)), F.concat(word(42), word(43), word(44)), F.concat(word(45), word(46), word(47))), (" ",), " "),
     ]
     picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     picked = picked.where(_fraction(F.xxhash64("doc_id", F.lit(SEED))) < rows / (len(kinds) * max(1, docs.count())))
