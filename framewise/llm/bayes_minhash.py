@@ -9,7 +9,13 @@ candidates. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40,
 the first ``BATCH * BATCHES`` minima are the signature by which candidates are compared, batch by batch: with m of n
 positions equal, the posterior of the similarity (uniform prior) says how likely it still reaches the threshold, and a
 pair below the miss probability is dropped before the next batch. The batches are one conjunction in the join's
-condition, so a pruned pair never becomes a row. What survives is counted exactly over the whole texts.
+condition, so a pruned pair never becomes a row.
+
+What survives is verified exactly, in two steps. Each set also has a sketch in which every shingle flips one of
+``PARITY`` bits; two sketches differ in at most as many bits as the sets in shingles, so more differing bits than the
+threshold allows refute a pair for certain. This test ends the join's condition; groups whose members are just below the
+threshold would make a row for each of their pairs without it. The other pairs are counted over the whole texts. A
+pair that shares several bands is compared in the bucket with the smallest key alone.
 
 Texts with equal sets are one node from the start. In a band's bucket the smallest node is compared with the others;
 buckets whose nodes the links found so far do not connect go on with the next 8, 64, 512 ... nodes, until comparing the
@@ -40,6 +46,8 @@ BANDS, ROWS = 40, 5
 BATCH, BATCHES = 32, 4
 #: Chance below which a pair is taken to miss the threshold.
 MISS = 1e-6
+#: Bits of the sketch that refutes pairs.
+PARITY = 1024
 #: Buckets are compared in full once that makes at most so many pairs for each of their rows.
 FULL = 200
 #: Ids that may be broadcast to filter the texts to verify, 8 bytes each.
@@ -53,6 +61,7 @@ _SPREAD = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U64)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U64))
 _SEED = U64(0xC2B2AE3D27D4EB4F)
 _WORDS = [f"w{i}" for i in range(BATCH * BATCHES // 16)]
+_BITS = [f"p{i}" for i in range(PARITY // 64)]
 
 
 def least_matches(threshold: float, miss: float, batch: int = BATCH, batches: int = BATCHES) -> list[int]:
@@ -96,6 +105,12 @@ def signature(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, packed
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Which of ``PARITY`` bits an odd number of shingles fall on."""
+    odd = np.bincount((shingles & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U64)
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Distinct shingle hashes of each text, sorted."""
     for run in word_runs(column):
@@ -111,28 +126,30 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 _SIGNED = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("keys", pa.list_(pa.int64()))]
-_SCHEMA = pa.schema([*_SIGNED, *[(w, pa.int64()) for w in _WORDS]])
-_SCHEMA_SQL = "doc_id long, n_shingles long, id_a long, id_b long, keys array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
+_SCHEMA = pa.schema([*_SIGNED, *[(w, pa.int64()) for w in (*_WORDS, *_BITS)]])
+_SCHEMA_SQL = "doc_id long, n_shingles long, id_a long, id_b long, keys array<long>, " + ", ".join(f"{w} long" for w in (*_WORDS, *_BITS))
 
 
 def sign_texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row of docs: set size, two words that identify the set, its band keys and its signature.
+    """Per row of docs: set size, two words that identify the set, its band keys, signature and sketch.
 
     A set met before in the same Arrow batch goes without keys, as its identity links it already.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, blank = np.zeros(0, U64), np.zeros(len(_WORDS), U64)
+        none, wide = np.zeros(0, U64), len(_WORDS) + len(_BITS)
+        blank = np.zeros(wide, U64)
         for batch in batches:
             n = batch.num_rows
-            ids, packed, keys = np.zeros((3, n), U64), np.zeros((len(_WORDS), n), U64), []
+            ids, packed, keys = np.zeros((3, n), U64), np.zeros((wide, n), U64), []
             seen: dict[tuple[int, int, int], np.ndarray] = {}
             for i, s in enumerate(shingle_sets(batch.column(1), shingle)):
                 one, two = np.add.reduce(mix(s)), np.bitwise_xor.reduce(mix(s ^ _SEED)) if len(s) else U64(0)
                 ids[:, i] = len(s), one, two
                 own, known = (len(s), int(one), int(two)), none
                 if len(s) and own not in seen:
-                    known, seen[own] = signature(minima(s))
+                    known, values = signature(minima(s))
+                    seen[own] = np.concatenate([values, parity(s)])
                 packed[:, i] = seen.get(own, blank)
                 keys.append(known)
             offsets = np.zeros(n + 1, np.int32)
@@ -160,15 +177,22 @@ def _likely(num: int, den: int, miss: float) -> Column:
     return reduce(lambda x, y: x & y, tests)
 
 
+def _possible(num: int, den: int) -> Column:
+    """Whether the sketches leave the threshold possible."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"o_{b}"))) for b in _BITS])
+    return bits * (den + num) <= (F.col("n_shingles") + F.col("o_n_shingles")) * (den - num)
+
+
 def _candidates(members: DataFrame, others: DataFrame, num: int, den: int, miss: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members and others in one bucket but different components, within the size bound
-    and not pruned by any batch."""
+    """Distinct pairs (a, b), a < b, of members and others in one bucket but different components, within the size bound,
+    not pruned by any batch, not refuted by the sketches, and without a smaller key in common."""
     right = others.select("key", *[F.col(c).alias(f"o_{c}") for c in others.columns if c != "key"])
     left = members.withColumnRenamed("key", "_key")
     n, o = F.col("n_shingles"), F.col("o_n_shingles")
     sized = F.least(n, o) * den >= F.greatest(n, o) * num
     apart = (F.col("node") != F.col("o_node")) & (F.col("component") != F.col("o_component"))
-    joined = left.join(right, (F.col("_key") == F.col("key")) & apart & sized & _likely(num, den, miss))
+    new = ~F.arrays_overlap("earlier", "o_earlier")
+    joined = left.join(right, (F.col("_key") == F.col("key")) & apart & sized & _likely(num, den, miss) & _possible(num, den) & new)
     return joined.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
@@ -212,11 +236,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
 
     # A bucket's first row of each set is enough; the others are linked by identity.
     sets = real.where(F.size("keys") > 0).join(owner, identity)
-    keyed = sets.select(F.explode("keys").alias("key"), "node").repartition("key")
+    keyed = sets.select(F.explode("keys").alias("key"), "node", "id_a").repartition("key")
     ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     live = keyed.join(ends.hint("shuffle_hash"), "key", "left_semi").distinct()
-    facts = sets.select("node", "n_shingles", *_WORDS).distinct()
-    members = _one_of_equal(stored(live, folder)).join(facts, "node").withColumn("component", F.col("node"))
+    facts = sets.select("node", "id_a", "n_shingles", "keys", *_WORDS, *_BITS).dropDuplicates(["node", "id_a"])
+    members = _one_of_equal(stored(live, folder)).join(facts, ["node", "id_a"])
+    earlier = F.filter("keys", lambda k: k < F.col("key"))
+    members = members.withColumns({"earlier": earlier, "component": F.col("node")}).drop("keys", "id_a")
     members = stored(members, folder)
 
     hubs, rest = 1, not members.isEmpty()
@@ -250,10 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
 
 
 def _one_of_equal(members: DataFrame) -> DataFrame:
-    """Of buckets with the same nodes, one."""
-    marks = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    )
+    """Of buckets with the same sets, the one with the smallest key."""
+    own = lambda k: F.bit_xor(F.xxhash64("node", "id_a", F.lit(k)))
+    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), own(0).alias("x"), own(1).alias("y"))
     one = marks.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     return members.join(one.select("key"), "key", "left_semi")
 
