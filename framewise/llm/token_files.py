@@ -19,10 +19,10 @@ their own entries, ordered by text; no rows give no files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm.storage import arrow_batches, shared_folder, stored
+from framewise.llm.words import U64, Run, word_runs
 
 BLOCK = 4096
 SHARE = 0.9
@@ -114,55 +115,179 @@ class IdFile:
         return np.concatenate([*parts, np.zeros(0, "<u4")])[first - a * BLOCK : last - a * BLOCK]
 
 
-#: White space of the tokenizer's pattern other than the space and the line feed.
+#: White space of the tokenizer's pattern other than single spaces and line feeds between other characters.
 _OTHER_SPACE = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n |^ | $")
-STORE = 1_200_000
+_BREAK = np.zeros(256, bool)
+_BREAK[[0x20, 0x0A]] = True
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
+#: First two bytes of the characters beyond ASCII that the pattern takes for white space.
+_WIDE_SPACE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[0x20] = False
+_FIRST = U64(0xD6E8FEB86659FD93)
+#: Words and ids that a worker keeps, about 80 MB; beyond it the store is emptied, which changes no result.
+STORE, STORE_IDS = 1_500_000, 8_000_000
+LEARN = 2_000
+
+
+class _Known:
+    """Ids of words by their hash: sorted hashes, a guard against equal hashes of other words, and runs in a pool of ids."""
+
+    def __init__(self) -> None:
+        self.key, self.guard = np.zeros(0, U64), np.zeros(0, U64)
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, key: np.ndarray, guard: np.ndarray) -> np.ndarray:
+        """Slot of each word, -1 for an unknown one."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.guard[at] == guard), at, -1)
+
+    def clash(self, key: np.ndarray) -> bool:
+        """Whether one of these keys is known, if with another guard."""
+        at = np.searchsorted(self.key, key)
+        return bool(np.any(self.key[np.minimum(at, len(self.key) - 1)] == key)) if len(self.key) and len(key) else False
+
+    def add(self, key: np.ndarray, guard: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Sorted keys that ``find`` doesn't know, with their ids one after the other."""
+        start = len(self.pool) + np.cumsum(size) - size
+        at = np.searchsorted(self.key, key)
+        self.key, self.guard = np.insert(self.key, at, key), np.insert(self.guard, at, guard)
+        self.start, self.size = np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.pool = np.concatenate([self.pool, ids])
 
 
 class WordEncoder:
     """Byte-level BPE of texts by the library, word by word: ids of the pieces between cuts are kept.
 
-    The tokenizer's pattern always begins a new piece at a single space between two characters that are not white
-    space, so a text's ids are those of its parts cut there. Texts with other white space around a space go to the
-    library whole.
+    A byte-level pattern always begins a new piece at a single space between two characters that are not white space, so
+    a text's ids are those of its parts cut there. Texts with other white space around a space go to the library whole,
+    as do all texts where the tokenizer is of another kind. New words are given to the library joined by spaces; a
+    piece that begins with a space begins the next word.
     """
 
     def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
-        #: Ids of words after a space, and of texts' first words.
-        self.after: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = {p[0] for p in plain if p}
-        words = set().union(*[p[1:] for p in plain if p])
-        if len(self.after) + len(self.first) > STORE:
-            self.after.clear()
-            self.first.clear()
-        self._learn(self.first, heads, "")
-        self._learn(self.after, words, " ")
-        whole = [t for t, p in zip(texts, plain, strict=True) if p is None]
-        rest = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
-        find = self.after.__getitem__
-        out = []
-        for p in plain:
-            if p is None:
-                out.append(array("I", next(rest).ids).tobytes())
+        self.cuts = word_by_word(tokenizer)
+        begins = [i for piece, i in self.library.get_vocab().items() if piece.startswith("Ġ")]
+        self.begins = np.zeros(1 + max(self.library.get_vocab().values(), default=0), bool)
+        self.begins[begins] = True
+        self.known = _Known()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, and their number for each row; null counts as empty."""
+        ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for run in word_runs(column, _NOT_BLANK, lower=False):
+            if self.cuts:
+                whole = _odd_rows(run)
             else:
-                found = list(map(find, p[1:]))
-                found.insert(0, self.first[p[0]])
-                out.append(b"".join(found))
-        return out
-
-    def _learn(self, store: dict[str, bytes], words: set[str], space: str) -> None:
-        wanted = list(words - store.keys())
-        for a in range(0, len(wanted), 50_000):
-            part = wanted[a : a + 50_000]
-            got = self.library.encode_batch_fast([space + w for w in part], add_special_tokens=False)
-            store.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
+                whole = np.diff(run.offsets) > 0
+            got = self._words(run, ~whole[run.row])
+            each = np.bincount(run.row[~whole[run.row]], got[0], run.rows).astype(np.int64)
+            flat = got[1]
+            if whole.any():
+                flat, each = self._with_whole(run, whole, flat, each)
+            ids.append(flat)
+            counts.append(each)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _with_whole(self, run: Run, whole: np.ndarray, flat: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(whole)
+        texts = [run.data[run.offsets[i] : run.offsets[i + 1]].tobytes().decode() for i in rows]
+        begin, parts, last = np.cumsum(each) - each, [], 0
+        each = each.copy()
+        for i, e in zip(rows.tolist(), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            parts += [flat[last : begin[i]], np.array(e.ids, "<u4")]
+            each[i], last = len(e.ids), begin[i]
+        return np.concatenate([*parts, flat[last:]]), each
+
+    def _words(self, run: Run, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each taken word, and these ids."""
+        start, end, row = run.start[taken], run.end[taken], run.row[taken]
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        first = start == run.offsets[row]
+        key, at, back = np.unique(run.hash[taken] ^ np.where(first, _FIRST, U64(0)), return_index=True, return_inverse=True)
+        start, end, first = start[at], end[at], first[at]
+        guard = _guard(run.data, start, end)
+        if len(self.known.key) + len(key) > STORE or len(self.known.pool) > STORE_IDS:
+            self.known = _Known()
+        for head in (False, True):
+            new = np.flatnonzero((self.known.find(key, guard) < 0) & (first == head))
+            if self.known.clash(key[new]):
+                # Another word with the same hash is known: start anew with these.
+                self.known = _Known()
+                return self._words(run, taken)
+            self.known.add(key[new], guard[new], *self._learn(run.data, start[new], end[new], head))
+        slot = self.known.find(key, guard)[back]
+        return self.known.size[slot], _gather(self.known.pool, self.known.start[slot], self.known.size[slot])
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word and these ids, in order; ``head`` for words that begin their text."""
+        raw, sizes, ids = data.tobytes(), [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        for a in range(0, len(words), LEARN):
+            part = words[a : a + LEARN]
+            texts = part if head else [" " + " ".join(part)]
+            got = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            ids += got
+            begins = np.flatnonzero(self.begins[got[0]])
+            sizes.append(np.array([len(x) for x in got]) if head else np.diff(begins, append=len(got[0])))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+def word_by_word(tokenizer: str) -> bool:
+    """Whether texts may be cut at single spaces: byte-level BPE with the usual pattern, no normaliser and no prefix."""
+    spec = json.loads(tokenizer)
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    # Words that the library matches before cutting may hold spaces or take those beside them.
+    simple = not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens") or [])
+    return bool(plain and usual and simple and "Ġ" in (model.get("vocab") or {}))
+
+
+def _odd_rows(run: Run) -> np.ndarray:
+    """Rows whose white space isn't only single spaces and line feeds between other characters."""
+    data, offsets = run.data, run.offsets
+    odd = np.zeros(run.rows, bool)
+    if not len(data):
+        return odd
+    row_of = lambda places: np.searchsorted(offsets, places, "right") - 1
+    filled = np.flatnonzero(np.diff(offsets) > 0)
+    odd[filled] = (data[offsets[filled]] == 0x20) | (data[offsets[filled + 1] - 1] == 0x20)
+    space, gap = data == 0x20, _BREAK[data]
+    odd[row_of(np.flatnonzero((space[:-1] & gap[1:]) | (gap[:-1] & space[1:])))] = True
+    odd[row_of(np.flatnonzero(_ODD_BYTE[data]))] = True
+    wide: list[np.ndarray] = []
+    high = np.flatnonzero(data[:-1] >= 0xC2)
+    for lead, seconds in _WIDE_SPACE.items():
+        led = high[data[high] == lead]
+        wide.append(led[np.isin(data[led + 1], seconds)])
+    for i in np.unique(row_of(np.concatenate(wide))).tolist():
+        odd[i] |= bool(_OTHER_SPACE.search(data[offsets[i] : offsets[i + 1]].tobytes().decode()))
+    return odd
+
+
+def _guard(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length and last four bytes of each word."""
+    guard = (end - start).astype(U64)
+    for k in range(1, 5):
+        at = end - k
+        guard = (guard << U64(8)) | np.where(at >= start, data[np.maximum(at, 0)], 0).astype(U64)
+    return guard
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of a pool one after the other."""
+    if not len(size):
+        return np.zeros(0, pool.dtype)
+    ends = np.cumsum(size)
+    return pool[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -196,19 +321,19 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         store, path = fs.FileSystem.from_uri(folder)
-        encoder, end = _encoder(shared), np.array([end_id], "<u4").tobytes()
+        encoder = _encoder(shared)
         names: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = number = part = 0
 
         def close() -> pa.RecordBatch:
-            raw = b"".join(held)
-            counts = np.array([len(x) // 4 for x in held], np.int64)
+            ids, counts = np.concatenate(held), np.concatenate(sizes)
             name = f"{path}/ids-{part:06d}-{number:04d}-{os.urandom(6).hex()}.pfr"
             with store.open_output_stream(name) as out:
-                for piece in pack_file(np.frombuffer(raw, "<u4"), counts):
+                for piece in pack_file(ids, counts):
                     out.write(piece)
-            row = [[part], [number], [f"{folder}/{name.rpartition('/')[2]}"], [names], [len(raw) // 4]]
+            row = [[part], [number], [f"{folder}/{name.rpartition('/')[2]}"], [names], [len(ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(row, _MANIFEST, strict=True)], schema=_MANIFEST)
 
         for batch in batches:
@@ -217,14 +342,15 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
             store.create_dir(path, recursive=True)
             part = batch.column(2)[0].as_py()
             for a in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(1)[a : a + 500].to_pylist()]
-                for name, ids in zip(batch.column(0)[a : a + 500].to_pylist(), encoder.encode(texts), strict=True):
-                    names.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= FILE_IDS:
-                        yield close()
-                        names, held, size, number = [], [], 0, number + 1
+                ids, counts = encoder.encode(batch.column(1)[a : a + 500])
+                # The end id goes behind each document's last.
+                held.append(np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
+                sizes.append(counts + 1)
+                names += batch.column(0)[a : a + 500].to_pylist()
+                size += len(held[-1])
+                if size >= FILE_IDS:
+                    yield close()
+                    names, held, sizes, size, number = [], [], [], 0, number + 1
         if held:
             yield close()
 

@@ -91,12 +91,13 @@ def row_runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_runs(column: pa.Array, kind: np.ndarray = NOT_SPACE) -> Iterator[Run]:
-    """The words of a string column, run by run, in order; every row belongs to one run."""
+def word_runs(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Iterator[Run]:
+    """The words of a string column, run by run, in order; every row belongs to one run. Without ``lower`` case counts."""
     data, offsets = text_buffer(column)
     for first, last in row_runs(offsets):
         own = offsets[first : last + 1] - offsets[first]
-        yield _words(first, _LOWER[data[offsets[first] : offsets[last]]], own, kind)
+        raw = data[offsets[first] : offsets[last]]
+        yield _words(first, _LOWER[raw] if lower else raw, own, kind)
 
 
 def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Run:
