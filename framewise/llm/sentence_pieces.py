@@ -11,7 +11,8 @@ taken when its piece may follow the last piece of the place where it begins; ans
 Both give the library's ids. Characters without a piece fall back to bytes, or to the unknown id.
 
 Models must use the identity normaliser, as ``supported`` checks. Defined cases: null and empty texts have no ids; a
-U+2581 in a text counts as a space, as in the library; all rows and other columns stay.
+U+2581 in a text counts as a space, as in the library; all rows and other columns stay. Relaxing takes a step for each
+place of the longest segment, and memory follows that segment: a text of a million letters without a space is one.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framewise.llm.storage import arrow_batches
+from framewise.llm.storage import arrow_batches, release
 from framewise.llm.words import U64
 
 MARK = "▁"
 INDEX_BYTES = 1 << 18
-#: Segments whose ids a worker keeps; the store is emptied when full, which changes no result.
-STORE = 250_000
+#: Bytes of segments and ids that a task keeps, about a third of what their objects take; the store is emptied when full
+#: and when the task ends, which changes no result.
+STORE_BYTES = 12_000_000
 _START, _NONE = -2, -1
 _SLOT_BITS = 20
 _SEGMENT = re.compile(" +[^ ]*")
@@ -73,6 +75,7 @@ class PieceModel:
         self._pairs = np.full(1 << _SLOT_BITS, -1, np.int64)
         self._apart = np.zeros(1 << _SLOT_BITS, bool)
         self._store: dict[str, bytes] = {}
+        self._stored = 0
 
     # -- matching ------------------------------------------------------------------------------------------------
 
@@ -264,14 +267,20 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.segments(t or "") for t in texts]
         wanted = sorted(set().union(*cut) - self._store.keys())
-        if len(self._store) + len(wanted) > STORE:
-            self._store.clear()
+        if self._stored + sum(map(len, wanted)) > STORE_BYTES:
+            self.forget()
             wanted = sorted(set().union(*cut))
         for part in _portions(wanted):
             spelled = [s[1:] if s[:1] == "\x00" and not self.prefix else MARK + s.replace(" ", MARK) for s in part]
-            self._store.update(zip(part, self.encode_segments(spelled), strict=True))
+            found = self.encode_segments(spelled)
+            self._store.update(zip(part, found, strict=True))
+            self._stored += sum(map(len, part)) + sum(map(len, found))
         return [b"".join(map(self._store.__getitem__, x)) for x in cut]
 
+    def forget(self) -> None:
+        """Empty the store."""
+        self._store, self._stored = {}, 0
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode(errors="replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -324,17 +333,21 @@ def encode_texts(docs: DataFrame, model: bytes, check: bool = False) -> DataFram
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(shared)
-        for batch in batches:
-            given = batch.column(1).to_pylist()
-            ids = pieces.encode(given)
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            columns, names = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"]
-            if check:
-                same = [pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, given, strict=True)]
-                columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                given = batch.column(1).to_pylist()
+                ids = pieces.encode(given)
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                columns, names = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"]
+                if check:
+                    same = [pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, given, strict=True)]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            pieces.forget()
+            release()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>" + ", round_trip boolean" * check)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,13 @@ def arrow_batches(spark: SparkSession) -> None:
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, text, extra ...) with a null text as the empty one; other columns, whatever their names, are left out."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer needs back to the system; Spark keeps idle workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps or returns memory by its own rules
+        pass

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,32 @@ def test_files_hold_the_library_ids(docs, texts, monkeypatch):
         start += len(ids)
     assert got == want and manifest.count() > 3
     assert token_files.read_ids(token_files.write_ids(docs.limit(0), raw)).collect() == []
+
+
+ODD_SPACES = [
+    None, "", " ", "  a b", "a\n b", "a \nb", "a\tb c", "a　b c", "“a” b—c 日本、語 x", "a\xa0b", "x<|endoftext|> y <|endoftext|>", "é è ñ",
+    "end ", "a  b", "\n\n", "a\nb c\nd", "Ġ a Ġb", "don't can't I'll", "\x85 z", "a b", "one two one two", "\x1cq", "z" * 70_000 + " y",
+]
+
+
+@pytest.mark.parametrize("store", [token_files.STORE, 5])
+def test_words_encode_as_in_whole_texts(monkeypatch, store):
+    monkeypatch.setattr(token_files, "STORE", store)
+    monkeypatch.setattr(token_files, "LEARN", 3)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = token_files.WordEncoder(file.read())
+    assert encoder.cuts
+    for texts in (ODD_SPACES, ODD_SPACES[::-1], [t[0] for t in ()], ["one two three", "two one"]):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_tokenizers_get_whole_texts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    encoder = token_files.WordEncoder(spec)
+    texts = ["a b", None, "don't  stop <|endoftext|> now", "é\n"]
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not encoder.cuts and counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
