@@ -7,12 +7,16 @@ third deployment predicts labels, the others numbers.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from framewise.catalog.base import LINEITEM_KEY, Tables, register
 from framewise.catalog.grouping import rounded
 from framewise.operators import joins, ml, monitoring, validation
 from framewise.sources import logs
+from framewise.streaming import drift as streamed_drift
+from framewise.streaming import monitoring as streamed
 
 AS_OF = "2024-02-01"
 
@@ -280,6 +284,68 @@ register(
     f"WITH {LOG}, {DEP}, {_DRIFT_N}, {_DRIFT_C}, {_DRIFT} SELECT * FROM dr",
 )
 
+# --- the same over streams --------------------------------------------------------------------
+
+
+def _streams(t: Tables) -> SimpleNamespace:
+    return SimpleNamespace(events=t.stream("events"), nation=t.nation)
+
+
+def _drift_streamed(t: Tables):
+    ends = streamed_drift.prediction_ends(prediction_log(_streams(t)), delay="400 days")
+    found = streamed_drift.latest(t.drained(streamed_drift.drift_stream(ends, deployments(t)), "update"))
+    return found.select("deployment_id", "problem_type", "predictions", "status", "drift_score")
+
+
+register(
+    "drift_streamed",
+    _drift_streamed,
+    f"WITH {LOG}, {DEP}, {_DRIFT_N}, {_DRIFT_C}, {_DRIFT} SELECT * FROM dr WHERE predictions > 0",
+)
+
+
+def _drift_alerts_streamed(t: Tables):
+    ends = streamed_drift.prediction_ends(prediction_log(_streams(t)), delay="400 days")
+    moved = t.drained(streamed_drift.drift_stream(ends, deployments(t).where("is_active")), "update")
+    last = streamed_drift.latest(moved).where("drift_score >= 60")
+    severity = F.when(F.col("drift_score") >= 80, "critical").otherwise("warning")
+    return last.select("deployment_id", severity.alias("severity"), F.col("drift_score").cast("double").alias("value"))
+
+
+register(
+    "drift_alerts_streamed",
+    _drift_alerts_streamed,
+    f"""WITH {LOG}, {DEP}, {_DRIFT_N}, {_DRIFT_C}, {_DRIFT} SELECT deployment_id,
+      CASE WHEN drift_score >= 80 THEN 'critical' ELSE 'warning' END AS severity, drift_score::DOUBLE AS value
+    FROM dr JOIN dep ON dep.id = deployment_id WHERE is_active AND drift_score >= 60""",
+)
+
+register(
+    "predictions_by_day_streamed",
+    lambda t: t.drained(streamed.predictions_by_day(prediction_log(_streams(t)), "400 days"), "complete"),
+    f"""WITH {LOG} SELECT deployment_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS count FROM log GROUP BY 1, 2""",
+)
+
+
+def _paired_streamed(t: Tables):
+    paired = streamed.pair_feedback(feedback(_streams(t)), prediction_log(_streams(t)), "1 day", "400 days")
+    found = t.drained(paired).where(F.col("prediction_numeric").isNotNull() & F.col("actual_value").isNotNull())
+    return rounded(
+        found.select("deployment_id", "prediction_log_id", "actual_value", "prediction_numeric"),
+        "actual_value",
+        "prediction_numeric",
+        digits=4,
+    )
+
+
+register(
+    "feedback_paired_streamed",
+    _paired_streamed,
+    f"""WITH {LOG}, {FB} SELECT fb.deployment_id, prediction_log_id, round(actual_value, 4) AS actual_value,
+      round(v, 4) AS prediction_numeric FROM fb JOIN log ON log.id = prediction_log_id
+    WHERE actual_value IS NOT NULL AND v IS NOT NULL""",
+)
+
 # --- feedback, health and alerts --------------------------------------------------------------
 
 _FACTS = """tot AS (SELECT deployment_id, count(*) AS total, count(actual_value) AS vals,

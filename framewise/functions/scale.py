@@ -7,6 +7,7 @@ Catalyst's size estimate of the plan, so it costs no job; an unknown size counts
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +59,16 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; one machine's session may leave that setting out."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="framewise-")
+    return f"{root.rstrip('/')}/framewise-{uuid.uuid4().hex}"
+
+
 def broadcast_if_few(df: DataFrame) -> DataFrame:
     """Freeze a table that is small by nature, count its rows, and broadcast it when there are at most ``FEW_ROWS``.
 

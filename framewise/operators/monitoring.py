@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.columns import ladder, ladder_below, ladder_up_to, ref, seconds
-from framewise.functions.scale import broadcast_if_few, row_positions
+from framewise.functions.ends import first_last
+from framewise.functions.scale import broadcast_if_few, freeze, row_positions
 from framewise.operators.joins import pair_feedback
 from framewise.sources.logs import json_label
 
@@ -116,42 +117,71 @@ def _capped_score(value: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.lit(100), F.floor(value))).cast("int")
 
 
+def log_ends(log: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per deployment: predictions (their number), first and last (its first and last ``window`` predictions), in one
+    reading of the log. Elements hold created_at, id, prediction_numeric and prediction."""
+    ends = first_last(log, "deployment_id", ["created_at", "id"], window, ["prediction_numeric", "prediction"])
+    return ends.withColumnRenamed("rows", "predictions")
+
+
+def _moments(rows: str) -> tuple[Column, Column, Column]:
+    """Count, mean and population deviation of the numeric predictions of an array of log rows."""
+    values = F.filter(F.transform(rows, lambda r: r["prediction_numeric"]), lambda v: v.isNotNull())
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.when(n > 0, n)
+    around = F.aggregate(values, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")), _welford, lambda s: s["s"])
+    return n, mean, F.sqrt(around / F.when(n > 0, n))
+
+
+def _welford(s: Column, v: Column) -> Column:
+    n, off = s["n"] + 1, v - s["m"]
+    mean = s["m"] + off / n
+    return F.struct(n.alias("n"), mean.alias("m"), (s["s"] + off * (v - mean)).alias("s"))
+
+
+def numeric_drift_columns(window: int = WINDOW) -> dict[str, Column]:
+    """Shift of the mean prediction between ``first`` and ``last`` of ``log_ends`` rows. Works on streams too."""
+    (bn, bm, bs), (rn, rm, rs) = _moments("first"), _moments("last")
+    enough = (F.col("predictions") >= 2 * window) & (bn > 0) & (rn > 0)
+    z = F.when(enough, F.abs(rm - bm) / (bs + 1e-9))
+    status = ladder_below(z, [(1.0, "stable"), (2.0, "mild_drift")], "significant_drift")
+    facts = {"baseline_mean": bm, "baseline_std": bs, "recent_mean": rm, "recent_std": rs}
+    return {
+        "status": F.coalesce(status, F.lit("insufficient_data")),
+        "drift_score": _capped_score(z * 33),
+        **{name: F.when(enough, F.round(c, 4)) for name, c in facts.items()},
+    }
+
+
+def class_drift_columns(window: int = WINDOW, digits: int | None = 4) -> dict[str, Column]:
+    """Total variation distance of the label shares between ``first`` and ``last`` of ``log_ends`` rows. Works on streams too."""
+
+    def labels(rows: str) -> Column:
+        return F.transform(rows, lambda r: F.coalesce(json_label(r["prediction"]), F.lit("unknown")))
+
+    first, last = labels("first"), labels("last")
+
+    def share(rows: Column, label: Column) -> Column:
+        value = F.size(F.filter(rows, lambda x: x == label)) / F.size(rows)
+        return value if digits is None else F.round(value, digits)
+
+    apart = F.aggregate(F.array_union(first, last), F.lit(0.0), lambda s, x: s + F.abs(share(last, x) - share(first, x)))
+    d = F.when(F.col("predictions") >= 2 * window, F.round(apart / 2, 10))
+    status = ladder_below(d, [(0.1, "stable"), (0.25, "mild_drift")], "significant_drift")
+    return {
+        "status": F.coalesce(status, F.lit("insufficient_data")),
+        "drift_score": _capped_score(F.round(d * 200, 8)),
+        "tvd": F.round(d, 4),
+    }
+
+
 def drift_numeric(log: DataFrame, window: int = WINDOW) -> DataFrame:
     """Shift of the mean prediction, last against first window, in baseline standard deviations."""
-    totals = log.groupBy("deployment_id").agg(F.count(F.lit(1)).alias("predictions"))
-    base, late = F.col("window") == "baseline", F.col("window") == "recent"
-    value = F.col("prediction_numeric")
-    stats = first_last_windows(log, window).groupBy("deployment_id").agg(
-        F.avg(F.when(base, value)).alias("_bm"),
-        F.stddev_pop(F.when(base, value)).alias("_bs"),
-        F.count(F.when(base, value)).alias("baseline_count"),
-        F.avg(F.when(late, value)).alias("_rm"),
-        F.stddev_pop(F.when(late, value)).alias("_rs"),
-        F.count(F.when(late, value)).alias("recent_count"),
-    )
-    enough = (
-        (F.col("predictions") >= 2 * window)
-        & (F.col("baseline_count") > 0)
-        & (F.col("recent_count") > 0)
-    )
-    z = F.when(enough, F.abs(F.col("_rm") - F.col("_bm")) / (F.col("_bs") + 1e-9))
-    rows = totals.join(stats, "deployment_id").withColumn("_z", z)
-    status = ladder_below(F.col("_z"), [(1.0, "stable"), (2.0, "mild_drift")], "significant_drift")
-    return rows.select(
-        "deployment_id",
-        "predictions",
-        F.coalesce(status, F.lit("insufficient_data")).alias("status"),
-        _capped_score(F.col("_z") * 33).alias("drift_score"),
-        *[
-            F.when(enough, F.round(c, 4)).alias(name)
-            for c, name in (
-                ("_bm", "baseline_mean"),
-                ("_bs", "baseline_std"),
-                ("_rm", "recent_mean"),
-                ("_rs", "recent_std"),
-            )
-        ],
-    )
+    return _with(log_ends(log, window), numeric_drift_columns(window))
+
+
+def _with(ends: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return ends.select("deployment_id", "predictions", *[c.alias(name) for name, c in columns.items()])
 
 
 def class_windows(log: DataFrame, window: int = WINDOW, digits: int | None = 4) -> DataFrame:
@@ -177,39 +207,34 @@ def class_windows(log: DataFrame, window: int = WINDOW, digits: int | None = 4)
 
 def drift_categorical(log: DataFrame, window: int = WINDOW, digits: int | None = 4) -> DataFrame:
     """Total variation distance of the label shares, last against first window."""
-    totals = log.groupBy("deployment_id").agg(F.count(F.lit(1)).alias("predictions"))
-    shares = class_windows(log, window, digits)
-    distance = shares.groupBy("deployment_id").agg(
-        (F.sum(F.abs(F.col("recent_share") - F.col("baseline_share"))) / 2).alias("_d")
-    )
-    d = F.when(F.col("predictions") >= 2 * window, F.round("_d", 10))
-    rows = totals.join(distance, "deployment_id").withColumn("_d", d)
-    status = ladder_below(F.col("_d"), [(0.1, "stable"), (0.25, "mild_drift")], "significant_drift")
-    return rows.select(
-        "deployment_id",
-        "predictions",
-        F.coalesce(status, F.lit("insufficient_data")).alias("status"),
-        _capped_score(F.round(F.col("_d") * 200, 8)).alias("drift_score"),
-        F.round("_d", 4).alias("tvd"),
-    )
+    return _with(log_ends(log, window), class_drift_columns(window, digits))
 
 
 def drift(deployments: DataFrame, log: DataFrame, window: int = WINDOW) -> DataFrame:
     """Drift of each deployment by its problem type; deployments without predictions have too little data."""
+    return _drift_of(deployments, log_ends(log, window), window)
+
+
+def _drift_of(deployments: DataFrame, ends: DataFrame, window: int = WINDOW) -> DataFrame:
     kinds = deployments.select(
         F.col("id").alias("deployment_id"),
         F.coalesce("problem_type", F.lit("regression")).alias("problem_type"),
     )
-    names = ["deployment_id", "predictions", "status", "drift_score"]
-    numeric = drift_numeric(log, window).select(*names, F.lit("regression").alias("problem_type"))
-    classes = drift_categorical(log, window).select(*names, F.lit("classification").alias("problem_type"))
-    found = kinds.join(numeric.unionByName(classes), ["deployment_id", "problem_type"], "left")
+    found = kinds.join(ends, "deployment_id", "left")
+    numeric, classes = numeric_drift_columns(window), class_drift_columns(window)
+    by_kind = lambda name: F.when(F.col("problem_type") == "regression", numeric[name]).when(
+        F.col("problem_type") == "classification", classes[name]
+    )
+    known = F.col("predictions").isNotNull()
     return found.select(
         "deployment_id",
         "problem_type",
-        F.coalesce("predictions", F.lit(0)).alias("predictions"),
-        F.coalesce("status", F.lit("insufficient_data")).alias("status"),
-        "drift_score",
+        F.when(F.col("problem_type").isin("regression", "classification"), F.coalesce("predictions", F.lit(0)))
+        .otherwise(0)
+        .cast("long")
+        .alias("predictions"),
+        F.coalesce(F.when(known, by_kind("status")), F.lit("insufficient_data")).alias("status"),
+        F.when(known, by_kind("drift_score")).alias("drift_score"),
     )
 
 
@@ -353,11 +378,13 @@ def alerts(deployments: DataFrame, log: DataFrame, feedback: DataFrame, as_of: s
     )
     stale = rows(aged.where(F.col("age") > 60), "stale_model", F.col("age") > 90, F.col("age"))
 
-    used = log.select("deployment_id").distinct()
+    # The ends are a row per deployment: drift and the search for unused deployments read the log once.
+    ends = freeze(log_ends(log.join(active.select(F.col("id").alias("deployment_id")), "deployment_id", "left_semi")))
+    used = ends.select("deployment_id")
     unused = aged.where(F.col("deployed") >= 1).join(used, "deployment_id", "left_anti")
     idle = rows(unused, "no_predictions", F.lit(False), F.col("deployed"))
 
-    moved = drift(active, log).where(F.col("drift_score") >= 60).join(
+    moved = _drift_of(active, ends).where(F.col("drift_score") >= 60).join(
         named, "deployment_id"
     )
     drifted = rows(moved, "drift_detected", F.col("drift_score") >= 80, F.col("drift_score"))
