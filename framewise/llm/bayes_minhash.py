@@ -186,8 +186,10 @@ def _possible(num: int, den: int) -> Column:
 def _candidates(members: DataFrame, others: DataFrame, num: int, den: int, miss: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members and others in one bucket but different components, within the size bound,
     not pruned by any batch, not refuted by the sketches, and without a smaller key in common."""
-    right = others.select("key", *[F.col(c).alias(f"o_{c}") for c in others.columns if c != "key"])
-    left = members.withColumnRenamed("key", "_key")
+    # No value is null; where Spark knows that, the condition's code is short enough to be compiled by the JVM.
+    sure = lambda c: F.col(c) if c == "earlier" else F.coalesce(c, F.lit(0).cast("long"))
+    right = others.select("key", *[sure(c).alias(f"o_{c}") for c in others.columns if c != "key"])
+    left = members.select(F.col("key").alias("_key"), *[sure(c).alias(c) for c in members.columns if c != "key"])
     n, o = F.col("n_shingles"), F.col("o_n_shingles")
     sized = F.least(n, o) * den >= F.greatest(n, o) * num
     apart = (F.col("node") != F.col("o_node")) & (F.col("component") != F.col("o_component"))
