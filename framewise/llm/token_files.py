@@ -125,6 +125,11 @@ _ODD_BYTE[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
 _WIDE_SPACE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: ASCII beside letters, the space and the apostrophe.
+_MARK = np.zeros(256, bool)
+_MARK[[i for i in range(0x80) if not _LETTER[i] and i not in (0x20, 0x27)]] = True
 _FIRST = U64(0xD6E8FEB86659FD93)
 #: Words and ids that a worker keeps, about 80 MB; beyond it the store is emptied, which changes no result.
 STORE, STORE_IDS = 1_500_000, 8_000_000
@@ -162,10 +167,11 @@ class _Known:
 class WordEncoder:
     """Byte-level BPE of texts by the library, word by word: ids of the pieces between cuts are kept.
 
-    A byte-level pattern always begins a new piece at a single space between two characters that are not white space, so
-    a text's ids are those of its parts cut there. Texts with other white space around a space go to the library whole,
-    as do all texts where the tokenizer is of another kind. New words are given to the library joined by spaces; a
-    piece that begins with a space begins the next word.
+    A byte-level pattern always begins a new piece at a single space between two characters that are not white space,
+    between an ASCII letter and an ASCII mark or digit (the apostrophe apart), and before line feeds, so a text's ids are
+    those of its parts cut there. Texts with other white space around a space, or with one of the tokenizer's added
+    words, go to the library whole, as do all texts where the tokenizer is of another kind. New words that follow a space
+    are given to the library joined; a piece that begins with a space begins the next word.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -173,6 +179,7 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.cuts = word_by_word(tokenizer)
+        self.added = [t["content"].encode() for t in json.loads(tokenizer).get("added_tokens") or []]
         begins = [i for piece, i in self.library.get_vocab().items() if piece.startswith("Ġ")]
         self.begins = np.zeros(1 + max(self.library.get_vocab().values(), default=0), bool)
         self.begins[begins] = True
@@ -181,9 +188,9 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, and their number for each row; null counts as empty."""
         ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for run in word_runs(column, _NOT_BLANK, lower=False):
+        for run in word_runs(column, _NOT_BLANK, lower=False, cuts=_cuts):
             if self.cuts:
-                whole = _odd_rows(run)
+                whole = _odd_rows(run, self.added)
             else:
                 whole = np.diff(run.offsets) > 0
             got = self._words(run, ~whole[run.row])
@@ -210,7 +217,7 @@ class WordEncoder:
         start, end, row = run.start[taken], run.end[taken], run.row[taken]
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, "<u4")
-        first = start == run.offsets[row]
+        first = (start == run.offsets[row]) | (run.data[start - 1] != 0x20)
         key, at, back = np.unique(run.hash[taken] ^ np.where(first, _FIRST, U64(0)), return_index=True, return_inverse=True)
         start, end, first = start[at], end[at], first[at]
         guard = _guard(run.data, start, end)
@@ -227,7 +234,7 @@ class WordEncoder:
         return self.known.size[slot], _gather(self.known.pool, self.known.start[slot], self.known.size[slot])
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word and these ids, in order; ``head`` for words that begin their text."""
+        """Number of ids of each word and these ids, in order; ``head`` for words without a space before them."""
         raw, sizes, ids = data.tobytes(), [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         for a in range(0, len(words), LEARN):
@@ -251,8 +258,16 @@ def word_by_word(tokenizer: str) -> bool:
     return bool(plain and usual and simple and "Ġ" in (model.get("vocab") or {}))
 
 
-def _odd_rows(run: Run) -> np.ndarray:
-    """Rows whose white space isn't only single spaces and line feeds between other characters."""
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a new piece begins without a space before it."""
+    letter, mark, line = _LETTER[data], _MARK[data], data == 0x0A
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:] & ~line[:-1]) | (line[1:] & ~line[:-1])
+    return cut
+
+
+def _odd_rows(run: Run, added: list[bytes]) -> np.ndarray:
+    """Rows whose white space isn't only single spaces and line feeds between other characters, or that hold an added word."""
     data, offsets = run.data, run.offsets
     odd = np.zeros(run.rows, bool)
     if not len(data):
@@ -263,6 +278,12 @@ def _odd_rows(run: Run) -> np.ndarray:
     space, gap = data == 0x20, _BREAK[data]
     odd[row_of(np.flatnonzero((space[:-1] & gap[1:]) | (gap[:-1] & space[1:])))] = True
     odd[row_of(np.flatnonzero(_ODD_BYTE[data]))] = True
+    raw = data.tobytes()
+    for word in added:
+        at = raw.find(word)
+        while at >= 0:
+            odd[row_of(at)] = True
+            at = raw.find(word, at + len(word))
     wide: list[np.ndarray] = []
     high = np.flatnonzero(data[:-1] >= 0xC2)
     for lead, seconds in _WIDE_SPACE.items():

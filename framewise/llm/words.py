@@ -6,7 +6,7 @@ text makes a run of its own, so memory follows the longest text and not the batc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,16 +91,19 @@ def row_runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_runs(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Iterator[Run]:
-    """The words of a string column, run by run, in order; every row belongs to one run. Without ``lower`` case counts."""
+def word_runs(
+    column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True, cuts: Callable[[np.ndarray], np.ndarray] | None = None
+) -> Iterator[Run]:
+    """The words of a string column, run by run, in order; every row belongs to one run. Without ``lower`` case counts.
+    ``cuts`` marks the bytes at which a word also begins beside another one."""
     data, offsets = text_buffer(column)
     for first, last in row_runs(offsets):
         own = offsets[first : last + 1] - offsets[first]
         raw = data[offsets[first] : offsets[last]]
-        yield _words(first, _LOWER[raw] if lower else raw, own, kind)
+        yield _words(first, _LOWER[raw] if lower else raw, own, kind, cuts)
 
 
-def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Run:
+def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cuts: Callable | None = None) -> Run:
     n, rows = len(data), len(offsets) - 1
     inside = kind[data]
     before = np.zeros(n + 1, bool)
@@ -109,8 +112,13 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray)
     after = np.zeros(n + 1, bool)
     after[:n] = inside
     after[offsets] = False
-    start = np.flatnonzero(inside & ~before[:n])
-    end = np.flatnonzero(inside & ~after[1:]) + 1
+    begins, ends = inside & ~before[:n], inside & ~after[1:]
+    if cuts is not None:
+        more = cuts(data) & inside & before[:n]
+        begins |= more
+        ends[:-1] |= more[1:]
+    start = np.flatnonzero(begins)
+    end = np.flatnonzero(ends) + 1
     _powers.upto(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[data] * _powers.up[:n], out=total[1:])

@@ -201,6 +201,7 @@ def test_files_hold_the_library_ids(docs, texts, monkeypatch):
 ODD_SPACES = [
     None, "", " ", "  a b", "a\n b", "a \nb", "a\tb c", "a　b c", "“a” b—c 日本、語 x", "a\xa0b", "x<|endoftext|> y <|endoftext|>", "é è ñ",
     "end ", "a  b", "\n\n", "a\nb c\nd", "Ġ a Ġb", "don't can't I'll", "\x85 z", "a b", "one two one two", "\x1cq", "z" * 70_000 + " y",
+    "a\n\n", "x.\n\nfoo, bar;\n(baz) 12ab ab12 it's 'tis 's' x'll,\n“q”. 日本.abc", "<|endoftext|>a", "1\n2\n", "’s don’t", "a\n\nb.c\n",
 ]
 
 
