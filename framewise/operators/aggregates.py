@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from framewise.functions.columns import (
     require_columns,
     require_numeric,
 )
+from framewise.functions.gram import pair_correlations
 from framewise.functions.quantiles import group_percentiles
 from framewise.functions.scale import is_small
 
@@ -424,36 +424,31 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Pearson r over the complete pairs, null when a side does not vary (``corr`` raises then)."""
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread)
-
-
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r and the number of complete rows for each pair, all pairs of a batch in one scan."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        measures = []
-        for i, (a, b) in enumerate(batch):
-            x, y = ref(a).cast("double"), ref(b).cast("double")
-            measures.append(pearson(x, y).alias(f"r{i}"))
-            measures.append(F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"))
-        wide = df.agg(*measures)
-        structs = [
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                F.col(f"r{i}").alias("r"),
-                F.col(f"n{i}").alias("pairs"),
-            )
-            for i, (a, b) in enumerate(batch)
-        ]
-        parts.append(wide.select(F.inline(F.array(*structs))))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Pearson r over the complete pairs, null when a side does not vary (merged deviations of a constant are not quite 0)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
+def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], later: bool = False) -> DataFrame:
+    """(i, j, col_a, col_b, r, pairs): Pearson r and the number of complete rows of each column on the left with each on
+    the right (``later``: with those at later places alone), in one scan. Few pairs are plain aggregates, more come from
+    matrix products per task."""
+    if len(left) * len(right) > PAIRS_PER_PASS * (2 if later else 1):
+        found = pair_correlations(df, left, right).where(F.col("i") < F.col("j") if later else F.lit(True))
+    else:
+        measures, structs = [], []
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                if later and j <= i:
+                    continue
+                x, y = ref(a).cast("double"), ref(b).cast("double")
+                measures.append(pearson(x, y).alias(f"r{i}_{j}"))
+                measures.append(F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}_{j}"))
+                structs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{i}_{j}").alias("pairs"), F.col(f"r{i}_{j}").alias("r")))
+        found = df.agg(*measures).select(F.inline(F.array(*structs)))
+    named = lambda names, place: F.get(F.array(*[F.lit(c) for c in names]), F.col(place))
+    return found.select("i", "j", named(left, "i").alias("col_a"), named(right, "j").alias("col_b"), "r", "pairs")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -461,7 +456,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     names = list(columns or numeric_columns(df))
     if len(names) < 2:
         raise ValueError("Need at least two numeric columns")
-    rows = correlations(df, list(combinations(names, 2))).where(F.col("r").isNotNull())
+    rows = correlations(df, names, names, later=True).where(F.col("r").isNotNull())
     return rows.select("col_a", "col_b", F.round("r", 3).alias("correlation")).orderBy(
         F.desc(F.abs("correlation")), "col_a", "col_b"
     )
@@ -470,13 +465,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Square matrix, one row per column, with null where r is undefined."""
     names = list(columns or numeric_columns(df))
-    pairs = list(combinations(names, 2)) + [(n, n) for n in names]
-    r = correlations(df, pairs).select("col_a", "col_b", F.round("r", 3).alias("r"))
-    flipped = r.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"
-    )
-    wide = r.unionByName(flipped).groupBy(F.col("col_a").alias("column"))
-    return wide.pivot("col_b", names).agg(F.first("r"))
+    r = correlations(df, names, names).select(F.col("col_a").alias("column"), "col_b", F.round("r", 3).alias("r"))
+    return r.groupBy("column").pivot("col_b", names).agg(F.first("r"))
 
 
 def target_correlations(df: DataFrame, target: str, top_n: int = 10) -> DataFrame:
@@ -485,7 +475,7 @@ def target_correlations(df: DataFrame, target: str, top_n: int = 10) -> DataFram
     others = numeric_columns(df, exclude=[target])
     if not others:
         raise ValueError("The target is the only numeric column")
-    r = correlations(df, [(target, c) for c in others])
+    r = correlations(df, [target], others)
     rows = r.where((F.col("pairs") >= 3) & F.col("r").isNotNull()).select(
         F.col("col_b").alias("column"), F.round("r", 4).alias("correlation")
     )
@@ -502,7 +492,7 @@ def spec_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: r of two columns with its strength and direction, and the complete pairs behind it."""
     require_numeric(df, a)
     require_numeric(df, b)
-    row = correlations(df, [(a, b)])
+    row = correlations(df, [a], [b])
     strength = ladder(F.abs("r"), [(0.7, "strong"), (0.4, "moderate")], "weak")
     direction = F.when(F.col("r") >= 0, "positive").otherwise("negative")
     return row.select(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
@@ -167,13 +166,9 @@ def suggest_features(df: DataFrame) -> DataFrame:
     parts.append(suggestion(few, 2, "one_hot", F.col("ordinal")))
     parts.append(suggestion(some, 2, "label_encode", F.col("ordinal")))
     if len(numeric) >= 2:
-        pairs = list(combinations(numeric, 2))
-        places = F.create_map(
-            *[F.lit(x) for i, (a, b) in enumerate(pairs) for x in (f"{a}__{b}", i)]
-        )
-        r = correlations(df, pairs).where(F.abs("r") >= 0.5)
-        named = r.select(F.concat_ws("__", "col_a", "col_b").alias("column"))
-        parts.append(suggestion(named, 3, "interaction", places[F.col("column")]))
+        r = correlations(df, numeric, numeric, later=True).where(F.abs("r") >= 0.5)
+        named = r.select(F.concat_ws("__", "col_a", "col_b").alias("column"), (F.col("i") * len(numeric) + F.col("j")).alias("_place"))
+        parts.append(suggestion(named, 3, "interaction", F.col("_place")))
     # A few rows per column of the table.
     order = Window.orderBy("_phase", "_order")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
