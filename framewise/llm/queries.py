@@ -41,10 +41,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _query_sql(query: str) -> str:
+    """A URL's query in SQL, its parameters sorted and tracking ones dropped."""
+    kept = f"list_filter(string_split(regexp_replace({query}, '^\\?', ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{url_filters.TRACKING}'))"
+    return f"(CASE WHEN len({kept}) > 0 THEN '?' || array_to_string(list_sort({kept}), '&') ELSE '' END)"
+
+
+_URL = "'(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)'"
 _REVISIT_SQL = """
 WITH p AS (SELECT page_id, url, html, 1700000000 + (page_id * 7919) % 7776000 AS t, md5(coalesce(html, '')) AS d, length(coalesce(html, '')) AS n,
     CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 2)), '^(www|m)\\.', '')
-      || regexp_replace(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 3), '(/index)?(\\.html?|/)?$', '') END AS key FROM pages),
+      || regexp_replace(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', 3), '(/index)?(\\.html?|/)?$', '') || {query} END AS key FROM pages),
 r AS (
   SELECT page_id * 4 AS id, key, t AS ts, '"' || d || '"' AS tag, 't' || t AS lm, n, d FROM p
   UNION ALL SELECT page_id * 4 + 3, key, t + 172800 + page_id % 97, '"2' || d || '"', 't' || (t + 172800 + page_id % 97), n, md5(d || '2') FROM p WHERE page_id % 3 = 0),
@@ -59,7 +66,7 @@ SELECT id AS record_id, key, ts, rid AS response_id, status,
   CASE WHEN status = 'resolved' THEN rn::VARCHAR END AS content_length, CASE WHEN status = 'resolved' THEN coalesce(cc, 'max-age=60') END AS cache_control,
   CASE WHEN status = 'resolved' THEN age END AS age, CASE WHEN status = 'resolved' THEN rd END AS digest
 FROM s
-"""
+""".replace("{query}", _query_sql(f"regexp_extract(url, {_URL}, 4)"))
 
 
 @query("op1_revisits", _REVISIT_SQL)
@@ -81,7 +88,7 @@ URL_RULES = [
 
 
 def _url_sql() -> str:
-    parts = "'(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)'"
+    parts = _URL
     part = lambda url, k: f"regexp_extract(coalesce({url}, ''), {parts}, {k})"
     node = lambda u: f"lower({part(u, 1)}) || '://' || lower({part(u, 2)}) || {part(u, 3)} || {part(u, 4)}"
     cut = "regexp_replace({}, '(/index)?(\\.html?|/)?$', '')".format
@@ -98,8 +105,8 @@ def _url_sql() -> str:
     return f"""
 WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 p AS (SELECT page_id, url, html, lower({part('url', 2)}) AS host, {part('url', 3)} AS path, CASE WHEN contains(url, '://') THEN {node('url')} END AS node,
-    CASE WHEN contains(url, '://') THEN lower({part('url', 1)}) || '://' || lower({part('url', 2)}) || {cut(part('url', 3))} END AS canon,
-    CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower({part('url', 2)}), '^(www|m)\\.', '') || {cut(part('url', 3))} END AS bare FROM pages),
+    CASE WHEN contains(url, '://') THEN lower({part('url', 1)}) || '://' || lower({part('url', 2)}) || {cut(part('url', 3))} || {_query_sql(part('url', 4))} END AS canon,
+    CASE WHEN contains(url, '://') THEN 'https://' || regexp_replace(lower({part('url', 2)}), '^(www|m)\\.', '') || {cut(part('url', 3))} || {_query_sql(part('url', 4))} END AS bare FROM pages),
 l AS (SELECT url, node, {links[0]} AS l FROM p UNION ALL SELECT url, node, {links[1]} FROM p),
 e(a, b) AS (SELECT node, canon FROM p UNION SELECT canon, bare FROM p UNION SELECT node, {node("r")} FROM (SELECT node, {resolved} AS r FROM l WHERE l <> '') WHERE contains(r, '://')),
 sides(a, b) AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),

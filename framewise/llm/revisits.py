@@ -1,6 +1,7 @@
 """Not-modified revisits of a web archive, resolved to the response that they confirm.
 
-A revisit takes the latest earlier full response of its canonical URL (an as-of join), if the validators agree, and
+A revisit takes the latest earlier full response of its canonical URL (an as-of join; the URL keeps its query, with sorted
+parameters and without tracking ones), if the validators agree, and
 that response's headers with the permitted ones of the revisit put in.
 
 The as-of join works on distinct (URL, time) points: responses of one point are grouped first, a window orders the

@@ -6,7 +6,7 @@ nodes, redirects and canonical links are edges, and connected components carry d
 before blocked ones; without a decided alias the verdict is the default.
 
 Edges are read from pages (``<link rel=canonical>`` and ``<meta http-equiv=refresh>``) and made from the URL itself: a
-page's canonical form without query, fragment and file ending, and the redirect of ``www.`` and ``m.`` hosts to the
+page's canonical form without fragment and file ending and with the query's parameters sorted, tracking ones dropped, and the redirect of ``www.`` and ``m.`` hosts to the
 bare host over https.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule, has no aliases and gets the
@@ -26,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"
 ENDING = r"(/index)?(\.html?|/)?$"
 BARE = r"^(www|m)\."
+#: Parameters that say where a visitor came from, not what the page is.
+TRACKING = r"^(utm_[^=]*|gclid|dclid|fbclid|msclkid|yclid|igshid|mc_cid|mc_eid|_ga)(=|$)"
 LINKS = (
     (r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
     (r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
@@ -46,6 +48,13 @@ def path_of(url: Column) -> Column:
     return part(url, 3)
 
 
+def query_of(url: Column) -> Column:
+    """The query with sorted parameters and without tracking ones, with its ``?``; empty where nothing is left."""
+    given = F.split(F.regexp_replace(part(url, 4), r"^\?", ""), "&")
+    kept = F.filter(given, lambda p: (p != "") & ~p.rlike(TRACKING))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(F.lit(""))
+
+
 def node_of(url: Column) -> Column:
     """The URL as a node: scheme and host in lower case, no fragment; null where there is no ``://``."""
     text = F.concat(F.translate(part(url, 1), UPPER, LOWER), F.lit("://"), host_of(url), path_of(url), part(url, 4))
@@ -54,13 +63,13 @@ def node_of(url: Column) -> Column:
 
 def canonical_of(url: Column) -> Column:
     """The page's canonical form on its own host."""
-    text = F.concat(F.translate(part(url, 1), UPPER, LOWER), F.lit("://"), host_of(url), F.regexp_replace(path_of(url), ENDING, ""))
+    text = F.concat(F.translate(part(url, 1), UPPER, LOWER), F.lit("://"), host_of(url), F.regexp_replace(path_of(url), ENDING, ""), query_of(url))
     return F.when(url.contains("://"), text)
 
 
 def bare_of(url: Column) -> Column:
     """The canonical form on the bare host over https."""
-    text = F.concat(F.lit("https://"), F.regexp_replace(host_of(url), BARE, ""), F.regexp_replace(path_of(url), ENDING, ""))
+    text = F.concat(F.lit("https://"), F.regexp_replace(host_of(url), BARE, ""), F.regexp_replace(path_of(url), ENDING, ""), query_of(url))
     return F.when(url.contains("://"), text)
 
 
@@ -90,10 +99,14 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path, rule, verdict) of the distinct (host, path) that a rule fits. Each host is looked up by its suffixes."""
+    """(host, path, rule, verdict) of the distinct (host, path) that a rule fits. Each host is looked up by its suffixes of
+    at most as many labels as the longest rule's host."""
     labels = F.split("host", r"\.")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    seen = urls.where(F.col("host") != "").select("host", "path").distinct().select("host", "path", suffix.alias("suffix"))
+    most = rules.agg(F.coalesce(F.max(F.size(labels)), F.lit(0)).alias("most"))
+    first = F.greatest(F.lit(1), F.size(labels) - F.col("most") + 1)
+    suffix = F.explode(F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    seen = urls.where(F.col("host") != "").select("host", "path").distinct()
+    seen = seen.crossJoin(F.broadcast(most)).where("most > 0").select("host", "path", suffix.alias("suffix"))
     given = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict")
     fits = seen.join(given, "suffix").where(F.expr("startswith(path, rule_path)"))
     rule = F.concat("suffix", "rule_path")
