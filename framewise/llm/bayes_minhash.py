@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm.components import connected_components
-from framewise.llm.storage import arrow_batches, shared_folder, stored, texts
+from framewise.llm.storage import arrow_batches, mapped, shared_folder, stored, texts
 from framewise.llm.words import U64, mix, windows, word_runs
 
 SHINGLE, NUM, DEN = 2, 80, 100
@@ -159,7 +159,7 @@ def sign_texts(docs: DataFrame, shingle: int) -> DataFrame:
             columns = [batch.column(0).cast(pa.int64()), *[pa.array(x.view(np.int64)) for x in ids], lists]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x.view(np.int64)) for x in packed]], schema=_SCHEMA)
 
-    return texts(docs).mapInArrow(sign, _SCHEMA_SQL)
+    return mapped(texts(docs), sign, _SCHEMA_SQL)
 
 
 def _likely(num: int, den: int, miss: float) -> Column:
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     text = texts(docs).join(needed, "doc_id", "left_semi")
     side = lambda k: text.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(count, "a long, b long").distinct()
+    return mapped(joined, count, "a long, b long").distinct()
 
 
 def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:

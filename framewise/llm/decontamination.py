@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.storage import arrow_batches
+from framewise.llm.storage import arrow_batches, mapped, shared_folder, stored
 from framewise.llm.words import ALNUM, U64, word_runs
 
 WINDOW = 13
@@ -37,7 +37,7 @@ _SPAN = "struct<first:long,last:long,start:long,end:long>"
 class ItemAutomaton:
     """Suffix automaton of word sequences. ``owners`` maps the state of each window to the items that have it."""
 
-    def __init__(self, items: list[tuple[str | None, list[int]]], window: int) -> None:
+    def __init__(self, items: list[tuple[int, list[int]]], window: int) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         for _, words in items:
@@ -45,20 +45,21 @@ class ItemAutomaton:
             for word in words:
                 state = self._extend(state, word)
         self.window = window
-        self.owners: dict[int, set[str]] = {}
-        self.whole: dict[int, dict[int, set[str]]] = {}
-        for name, words in items:
-            self._mark(name, words)
+        self.owners: dict[int, set[int]] = {}
+        self.whole: dict[int, dict[int, set[int]]] = {}
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
         #: The state of the last ``window`` words, for states that are so long.
         self.tail = [-1] * len(self.link)
-        #: The nearest state up the suffix links, itself included, that ends a whole short item.
-        self.short = [-1] * len(self.link)
         for v in order:
-            up = self.link[v]
             if self.length[v] >= window:
+                up = self.link[v]
                 self.tail[v] = v if self.length[up] < window else self.tail[up]
-            self.short[v] = v if v in self.whole else self.short[up]
+        for item, words in items:
+            self._mark(item, words)
+        #: The nearest state up the suffix links, itself included, that ends a whole short item.
+        self.short = [-1] * len(self.link)
+        for v in order:
+            self.short[v] = v if v in self.whole else self.short[self.link[v]]
 
     def _extend(self, last: int, word: int) -> int:
         to = self.next[last].get(word)
@@ -88,19 +89,16 @@ class ItemAutomaton:
         self.length.append(length)
         return len(self.link) - 1
 
-    def _mark(self, name: str | None, words: list[int]) -> None:
+    def _mark(self, item: int, words: list[int]) -> None:
         state = 0
         for place, word in enumerate(words, 1):
             state = self.next[state][word]
             if place >= self.window:
-                v = state
-                while self.length[self.link[v]] >= self.window:
-                    v = self.link[v]
-                self.owners.setdefault(v, set()).update([name] if name is not None else [])
+                self.owners.setdefault(self.tail[state], set()).add(item)
         if 0 < len(words) < self.window:
-            self.whole.setdefault(state, {}).setdefault(len(words), set()).update([name] if name is not None else [])
+            self.whole.setdefault(state, {}).setdefault(len(words), set()).add(item)
 
-    def stream(self, words: list[int]) -> Iterator[tuple[int, int, set[str]]]:
+    def stream(self, words: list[int]) -> Iterator[tuple[int, int, set[int]]]:
         """(first, last + 1, items) of each window occurrence in a stretch of words."""
         state = matched = 0
         for at, word in enumerate(words, 1):
@@ -123,15 +121,16 @@ class ItemAutomaton:
 
 @dataclass
 class Matcher:
-    """The automaton with the vocabulary and the neighbouring pairs of its items."""
+    """The automaton with the vocabulary and the neighbouring pairs of its items; ``names`` has the ids of each text."""
 
     vocabulary: np.ndarray
     pairs: np.ndarray
     shortest: int
     automaton: ItemAutomaton
+    names: list[list[str]]
 
     @classmethod
-    def of(cls, items: list[tuple[str | None, str]], window: int) -> Matcher:
+    def of(cls, items: list[tuple[list[str], str]], window: int) -> Matcher:
         hashed: list[np.ndarray] = []
         for run in word_runs(pa.array([text for _, text in items], pa.string()), ALNUM):
             hashed += np.split(run.hash, np.cumsum(run.count)[:-1])
@@ -140,10 +139,10 @@ class Matcher:
         ids = [np.searchsorted(vocabulary, h) for h in hashed]
         pairs = np.unique(np.concatenate([x[:-1] * len(vocabulary) + x[1:] for x in ids] or [np.zeros(0, np.int64)]))
         shortest = min([window, *(len(x) for x in ids if len(x))])
-        named = [(name, x.tolist()) for (name, _), x in zip(items, ids, strict=True)]
-        return cls(vocabulary, pairs, shortest, ItemAutomaton(named, window))
+        numbered = [(k, x.tolist()) for k, x in enumerate(ids)]
+        return cls(vocabulary, pairs, shortest, ItemAutomaton(numbered, window), [sorted(names) for names, _ in items])
 
-    def occurrences(self, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
+    def occurrences(self, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, set[int]]]:
         """Window occurrences among the words of several rows, by place in ``hashes``."""
         if not len(self.vocabulary) or not len(hashes):
             return
@@ -179,7 +178,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     range and byte range, and the ids of the items with occurring windows."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    given = items.select(F.col("item_id").cast("string"), F.col("text")).where(F.col("text").isNotNull()).distinct()
+    # A text under many ids is one item; a null id names nothing.
+    named = items.where(F.col("text").isNotNull()).groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("names"))
+    given = stored(named.select("names", "text"), shared_folder(spark))
     size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
     out = docs.select(
@@ -191,7 +192,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     for shard in range(shards):
         part = given.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard).collect()
         matcher = spark.sparkContext.broadcast(Matcher.of([(r[0], r[1]) for r in part], window))
-        out = out.mapInArrow(_matching(matcher), out.schema)
+        out = mapped(out, _matching(matcher), out.schema)
     return out
 
 
@@ -206,6 +207,7 @@ def _matching(shared):
             text = batch.column(0).flatten()[batch.column(0).type.get_field_index("text")]
             spans = [[tuple(s.values()) for s in x] for x in batch.column(2).to_pylist()]
             items = [set(x) for x in batch.column(3).to_pylist()]
+            hit: dict[int, set[int]] = {}
             counts = []
             for run in word_runs(text, ALNUM):
                 counts.append(run.count)
@@ -215,9 +217,11 @@ def _matching(shared):
                     k = int(run.row[a])
                     begin, base = int(run.offsets[k]), int(before[k])
                     touched.setdefault(k, []).append((a - base, b - base, int(run.start[a]) - begin, int(run.end[b - 1]) - begin))
-                    items[run.first + k] |= names
+                    hit.setdefault(run.first + k, set()).update(names)
                 for k, more in touched.items():
                     spans[run.first + k] = _merged(spans[run.first + k] + more)
+            for k, texts in hit.items():
+                items[k].update(*[matcher.names[i] for i in texts])
             as_dicts = [[dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in x] for x in spans]
             columns = [
                 batch.column(0),
@@ -271,4 +275,4 @@ def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                 columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select("row", "spans").mapInArrow(cut, docs.schema)
+    return mapped(found.select("row", "spans"), cut, docs.schema)

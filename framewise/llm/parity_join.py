@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm.components import connected_components
-from framewise.llm.storage import arrow_batches, shared_folder, stored, texts
+from framewise.llm.storage import arrow_batches, mapped, shared_folder, stored, texts
 from framewise.llm.words import U64, mix, windows, word_runs
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -143,7 +143,7 @@ def set_signatures(docs: DataFrame, shingle: int, num: int, den: int) -> DataFra
                 [batch.column(0).cast(pa.int64()), pa.array(size), *map(pa.array, ids), _lists(out[3]), _lists(out[4])], schema=_SIGNATURE
             )
 
-    return texts(docs).mapInArrow(sign, _SIGNATURE_SQL)
+    return mapped(texts(docs), sign, _SIGNATURE_SQL)
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int
     text = texts(docs).join(needed, "doc_id", "left_semi")
     side = lambda k: text.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(count, "a long, b long").distinct()
+    return mapped(joined, count, "a long, b long").distinct()
 
 
 def stored_ids(pairs: DataFrame) -> DataFrame:
