@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from framewise.catalog.base import Tables, register
@@ -139,9 +141,55 @@ register(
     ),
 )
 
-# Every column and section; the quantiles and correlations of a whole table have SQL in queries of their own.
 register("full_profile_whole_table", lambda t: profile.full_profile(t.events))
 
+
+def _profile_sql(table: str, numeric: list[str], others: list[str]) -> str:
+    """The whole profile of a table without missing values. ``numeric`` has the numeric columns."""
+    columns = [*numeric, *others]
+    parts = [
+        f"""SELECT 'stats' AS section, '{c}' AS "column", '{k}' AS item, round(({e.format(c=c)})::DOUBLE, 4) AS number FROM {table}"""
+        for c in columns
+        for k, e in _EV_STATS.items()
+    ]
+    parts += [
+        f"SELECT 'stats', '{c}', '{k}', round(({e.replace('value', c)})::DOUBLE, 4) FROM {table}"
+        for c in numeric
+        for k, e in _EV_NUMBERS.items()
+    ]
+    for c in numeric:
+        parts.append(f"""SELECT 'distribution', '{c}', g.bin::VARCHAR, coalesce(b.c, 0)::DOUBLE
+          FROM (SELECT unnest(range((SELECT least(count(DISTINCT {c}), 20) FROM {table}))) AS bin) g LEFT JOIN (
+            SELECT least(floor(({c}::DOUBLE - lo) * n / (hi - lo)), n - 1)::INT AS bin, count(*) AS c FROM {table},
+              (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, least(count(DISTINCT {c}), 20) AS n FROM {table}) GROUP BY 1) b
+          ON b.bin = g.bin""")
+        parts.append(f"SELECT 'outliers', '{c}', 'count', count::DOUBLE FROM ({outlier_sql(c, table)})")
+        parts.append(f"SELECT 'insight', '{c}', 'outliers', count::DOUBLE FROM ({outlier_sql(c, table)}) WHERE pct >= 5")
+    parts += [
+        f"""SELECT 'distribution', '{c}', k::VARCHAR, n::DOUBLE FROM (SELECT n, row_number() OVER (ORDER BY n DESC, v) AS k
+          FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM {table} GROUP BY 1)) WHERE k <= 20"""
+        for c in others
+    ]
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 3) AS r FROM {table}" for a, b in combinations(numeric, 2)
+    )
+    parts.append(f"SELECT 'correlation', a, b, r FROM ({pairs}) WHERE r IS NOT NULL")
+    parts.append(f"""SELECT 'insight', a || ',' || b, 'correlation', r
+      FROM (SELECT * FROM ({pairs}) WHERE r IS NOT NULL ORDER BY abs(r) DESC, a, b LIMIT 3) WHERE abs(r) >= 0.8""")
+    parts.append(f"""SELECT 'insight', '*', 'duplicates', d::DOUBLE
+      FROM (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {table})) AS d FROM {table}) WHERE d > 0""")
+    return " UNION ALL ".join(parts)
+
+
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+# Every column, row and section, from the value counts, moments, correlations and duplicates of the table.
+register(
+    "full_profile_lineitem",
+    lambda t: profile.full_profile(t.lineitem).select("section", "column", "item", F.round("number", 4).alias("number")),
+    _profile_sql("lineitem", _LINE_NUMBERS, ["l_returnflag", "l_linestatus", "l_shipdate"]),
+)
+
 register(
     "insights",
     lambda t: profile.insights(_gappy_part(t).withColumn("day", F.lit("2024-01-05"))).withColumn(

@@ -2,12 +2,14 @@
 
 Spark's ``percentile`` keeps a value -> count map per group in one aggregation buffer. Here equal values are
 counted first and the distinct ones ranked. A small input is ranked by one sort per group. Beyond the size check
-the same numbers come from a selection: a mergeable sketch brackets each wanted rank, the rows below a bracket
-are only counted, a histogram splits the bracket, and only the values in the cells that hold the rank are ranked.
+the same numbers come from a selection in three steps over the counted values, each of which only sums counts per
+cell: cells by the logarithm of the value, then even cells between the ends of the cell that holds the rank, then the
+ranks inside the one cell that is left. Which cell holds a rank follows from the counts, so no estimate can miss it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from framewise.functions.columns import ref
 from framewise.functions.scale import broadcast_if_small, is_small
 
-SKETCH_ACCURACY = 10_000
+#: Cells per unit of the logarithm in the first step, and even cells in the second.
+LOG_CELLS = 64
 CELLS = 1_000
 
 
@@ -25,13 +28,16 @@ def group_percentiles(
     group_by: Sequence[str],
     value: str,
     probabilities: dict[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group (one row in all without groups) with a column per named probability.
 
-    Missing values are left out; interpolation is linear between the two closest ranks.
+    Missing values are left out; interpolation is linear between the two closest ranks. With ``weight`` a row
+    stands for so many equal ones.
     """
+    times = F.lit(1) if weight is None else ref(weight)
     base = df.select(
-        *[ref(g).alias(g) for g in group_by], ref(value).cast("double").alias("_v")
+        *[ref(g).alias(g) for g in group_by], ref(value).cast("double").alias("_v"), times.cast("long").alias("_w")
     ).where(F.col("_v").isNotNull())
     if is_small(base):
         return _rank_groups(base, list(group_by), probabilities)
@@ -42,7 +48,7 @@ def _rank_groups(
     base: DataFrame, groups: list[str], probabilities: dict[str, float]
 ) -> DataFrame:
     """Ranks from one sort of the distinct values of each group, each in one (spilling) task."""
-    counted = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = base.groupBy(*groups, "_v").agg(F.sum("_w").alias("_c"))
     sizes = counted.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     running = (
         Window.partitionBy(*groups)
@@ -83,87 +89,56 @@ def _select_ranks(
     base: DataFrame, groups: list[str], probabilities: dict[str, float]
 ) -> DataFrame:
     # Equal values collapse before the shuffle, so a value held by a third of all rows is one row here.
-    counted = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    margin = 4.0 / SKETCH_ACCURACY
-    edges: list[float] = []
-    for p in probabilities.values():
-        edges += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = base.groupBy(*groups).agg(
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+    counted = base.groupBy(*groups, "_v").agg(F.sum("_w").alias("_c"))
+    magnitude = F.floor(F.log1p(F.abs("_v")) * LOG_CELLS).cast("long")
+    finite = F.abs("_v") < F.lit(math.inf)
+    # Infinities, and NaN as the largest value, lie in cells of their own at the ends.
+    coarse = F.when(F.isnan("_v"), F.lit(1 << 41)).when(finite, F.signum("_v").cast("long") * magnitude)
+    coarse = F.coalesce(coarse, F.when(F.col("_v") > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40))))
+    spread = counted.withColumn("_cell", coarse)
+    sizes = spread.groupBy(*groups, "_cell").agg(
+        F.sum("_c").alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    spans = []
+    # The logarithm of a double has under 710 units for either sign: the running sum is over a bounded number of rows.
+    before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    sizes = sizes.withColumns({"_below": F.coalesce(F.sum("_k").over(before), F.lit(0)), "_n": F.sum("_k").over(whole)})
+    ranks = []
     for i, p in enumerate(probabilities.values()):
-        # A few ranks of slack must lie inside the margin; a smaller group is its own bracket.
-        whole = F.col("_n") < F.lit(SKETCH_ACCURACY)
-        low = F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i])
-        high = F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
         rank = (F.col("_n") - 1) * F.lit(float(p))
-        spans.append(
-            F.struct(
-                F.lit(i).alias("_p"),
-                low.alias("_lo"),
-                high.alias("_hi"),
-                F.floor(rank).alias("_r0"),
-                F.ceil(rank).alias("_r1"),
-                (rank - F.floor(rank)).alias("_f"),
+        for part, place in ((0, F.floor(rank)), (1, F.ceil(rank))):
+            ranks.append(
+                F.struct(
+                    F.lit(2 * i + part).alias("_p"), place.alias("_r"), (rank - F.floor(rank)).alias("_f")
+                )
             )
-        )
-    # A handful of rows per group: one per wanted probability.
-    wanted = sketch.select(*groups, F.explode(F.array(*spans)).alias("_s")).select(*groups, "_s.*")
-
-    placed = _null_safe(counted, broadcast_if_small(wanted), groups, "inner").where(
-        F.col("_v") <= F.col("_hi")
-    )
+    hit = sizes.select("*", F.explode(F.array(*ranks)).alias("_s")).select("*", "_s.*").drop("_s")
+    hit = hit.where((F.col("_below") <= F.col("_r")) & (F.col("_below") + F.col("_k") > F.col("_r")))
+    # One row per group, probability and side from here on: the cells that hold the ranks.
+    wanted = hit.select(*groups, "_cell", "_p", "_r", "_f", "_below", "_lo", "_hi")
+    placed = _null_safe(spread, broadcast_if_small(wanted), [*groups, "_cell"], "inner")
     width = F.col("_hi") - F.col("_lo")
-    cell = (
-        F.when(F.col("_v") < F.col("_lo"), F.lit(-1))
-        .when(width <= 0, F.lit(0))
-        .otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1)))
-        .cast("int")
-    )
-    placed = placed.withColumn("_cell", cell)
+    even = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))
+    placed = placed.withColumn("_even", F.when(F.col("_hi") > F.col("_lo"), even).otherwise(F.lit(0)).cast("int"))
     slot = [*groups, "_p"]
-    # At most CELLS + 1 rows per group and probability, so the running sum is bounded.
-    before = Window.partitionBy(*slot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        placed.groupBy(*slot, "_cell")
-        .agg(F.sum("_c").alias("_k"), F.first("_r0").alias("_r0"), F.first("_r1").alias("_r1"))
-        .withColumn("_below", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-        .where(
-            (F.col("_cell") >= 0)
-            & (F.col("_below") <= F.col("_r1"))
-            & (F.col("_below") + F.col("_k") > F.col("_r0"))
-        )
-        .select(*slot, "_cell", "_below")
-    )
-    kept = _null_safe(
-        placed.where(F.col("_cell") >= 0), broadcast_if_small(cells), [*slot, "_cell"], "inner"
+    inner = placed.groupBy(*slot, "_even").agg(
+        F.sum("_c").alias("_k"), F.first("_r").alias("_r"), F.first("_below").alias("_below")
     )
+    before = Window.partitionBy(*slot).orderBy("_even").rowsBetween(Window.unboundedPreceding, -1)
+    inner = inner.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    inner = inner.where((F.col("_start") <= F.col("_r")) & (F.col("_start") + F.col("_k") > F.col("_r")))
+    kept = _null_safe(placed, broadcast_if_small(inner.select(*slot, "_even", "_start")), [*slot, "_even"], "inner")
     inside = (
-        Window.partitionBy(*slot, "_cell")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = kept.withColumn("_end", F.col("_below") + F.sum("_c").over(inside)).withColumn(
-        "_begin", F.col("_end") - F.col("_c")
-    )
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_begin") <= F.col(rank)) & (F.col("_end") > F.col(rank))
-        return F.max(F.when(hit, F.col("_v")))
-
-    values = ranked.groupBy(*slot).agg(
-        at("_r0").alias("_a"), at("_r1").alias("_b"), F.first("_f").alias("_f")
+        Window.partitionBy(*slot).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    values = values.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    ranked = kept.withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
+    found = ranked.where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_end") > F.col("_r")))
+    side = lambda i: F.max(F.when(F.col("_p") == i, F.col("_v")))
     picked = [
-        F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(name)
+        (side(2 * i) + (side(2 * i + 1) - side(2 * i)) * F.max(F.when(F.col("_p") == 2 * i, F.col("_f")))).alias(name)
         for i, name in enumerate(probabilities)
     ]
-    return values.groupBy(*groups).agg(*picked) if groups else values.agg(*picked)
+    return found.groupBy(*groups).agg(*picked) if groups else found.agg(*picked)
 
 
 def weighted_median(value: Column, weight: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -387,8 +388,13 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = list(columns or numeric_columns(df))
     for c in names:
         require_numeric(df, c)
-    long = unpivot_numeric(df, names).where(F.col("value").isNotNull())
-    cuts = group_percentiles(long, ["column"], "value", {"q1": 0.25, "q3": 0.75})
+    return counted_outliers(unpivot_numeric(df, names).withColumn("n", F.lit(1)))
+
+
+def counted_outliers(long: DataFrame) -> DataFrame:
+    """``iqr_outliers`` of rows (column, value, n), each of which stands for n equal values."""
+    long = long.where(F.col("value").isNotNull())
+    cuts = group_percentiles(long, ["column"], "value", {"q1": 0.25, "q3": 0.75}, weight="n")
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     # One row per column of the table.
     fences = F.broadcast(
@@ -402,7 +408,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     counts = (
         long.join(fences, "column")
         .groupBy("column", "lower_fence", "upper_fence")
-        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(outside).alias("_out"))
+        .agg(F.sum("n").alias("_n"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("_out"))
     )
     enough = F.col("_n") >= 4
     return counts.select(
@@ -414,6 +420,27 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+def counted_histograms(long: DataFrame, bins: int = 20) -> DataFrame:
+    """(column, bin, bin_start, count) as ``histogram`` gives them, for all columns of rows (column, value, n) whose
+    values are distinct within a column. Values that are not finite count as missing."""
+    rows = long.where(F.abs("value") < F.lit(math.inf))
+    frame = rows.groupBy("column").agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.least(F.count(F.lit(1)), F.lit(bins)).alias("_n")
+    )
+    width = F.col("_hi") - F.col("_lo")
+    spot = F.least(F.floor((F.col("value") - F.col("_lo")) * F.col("_n") / width), F.col("_n") - 1)
+    # One row per column of the table.
+    binned = rows.join(F.broadcast(frame), "column").select(
+        "column", "n", F.when(width > 0, spot).otherwise(F.lit(0)).cast("int").alias("bin")
+    )
+    counts = binned.groupBy("column", "bin").agg(F.sum("n").alias("count"))
+    edge = F.when(width > 0, F.col("_lo") + F.col("bin") * width / F.col("_n")).otherwise(F.col("_lo") - 0.5)
+    grid = frame.select(F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("bin"), "*")
+    return grid.join(F.broadcast(counts), ["column", "bin"], "left").select(
+        "column", "bin", F.round(edge, 4).alias("bin_start"), F.coalesce("count", F.lit(0)).alias("count")
+    )
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows in all and rows beyond the first of each identical group."""
     copies = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))

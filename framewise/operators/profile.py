@@ -24,12 +24,14 @@ from framewise.functions.columns import (
     text_columns,
 )
 from framewise.functions.quantiles import group_percentiles, weighted_median
+from framewise.functions.scale import freeze
 from framewise.operators.aggregates import (
     column_frequencies,
     correlation_pairs,
+    counted_histograms,
+    counted_outliers,
     duplicate_count,
     histogram,
-    iqr_outliers,
 )
 
 SAMPLES = 5
@@ -67,6 +69,21 @@ def text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*structs)))
 
 
+def counted_text_facts(freq: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``text_facts`` from (column, value, n)."""
+    known = freq.where(F.col("column").isin(list(columns)) & (F.trim("value") != ""))
+    like = F.sum(F.when(F.col("value").rlike(DATE_LIKE), F.col("n")).otherwise(0))
+    return known.groupBy("column").agg(
+        (like / F.sum("n")).alias("date_share"), (F.sum(F.length("value") * F.col("n")) / F.sum("n")).alias("mean_length")
+    )
+
+
+def counted_numbers(freq: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of numeric columns, with the value as a number."""
+    rows = freq.where(F.col("column").isin(list(columns)) & F.col("value").isNotNull())
+    return rows.select("column", F.col("value").try_cast("double").alias("value"), "n")
+
+
 def top_values(freq: DataFrame, k: int) -> DataFrame:
     """The k most frequent non-missing values of each column, ranked.
 
@@ -112,12 +129,13 @@ def _moments(df: DataFrame) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*structs)))
 
 
-def column_stats(df: DataFrame, samples: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, samples: bool = True, freq: DataFrame | None = None) -> DataFrame:
     """A row per column: type, counts, missing share, distinct values, samples and numeric moments.
 
-    Samples are the five smallest distinct values (as text), so they do not depend on row order.
+    Samples are the five smallest distinct values (as text), so they do not depend on row order. ``freq`` is the
+    table's ``column_frequencies`` where it is already at hand.
     """
-    freq = column_frequencies(df, df.columns)
+    freq = column_frequencies(df, df.columns) if freq is None else freq
     distinct = freq.groupBy("column").agg(F.count("value").alias("unique_count"))
     stats = _moments(df).join(F.broadcast(distinct), "column", "left")
     if samples:
@@ -155,56 +173,68 @@ def _section(
     )
 
 
+class _Parts:
+    """What the sections of a profile share, each computed once: the input is read for the value counts, the moments,
+    the correlations and the duplicates, whatever its number of columns."""
+
+    def __init__(self, df: DataFrame, samples: bool) -> None:
+        self.df, self.numeric, self.texts = df, numeric_columns(df), text_columns(df)
+        self.freq = freeze(column_frequencies(df, df.columns))
+        # These have a row per column, or per pair of them.
+        self.stats = freeze(column_stats(df, samples, self.freq))
+        numbers = counted_numbers(self.freq, self.numeric)
+        self.outliers = freeze(counted_outliers(numbers)) if self.numeric else None
+        self.numbers = numbers
+        self.pairs = freeze(correlation_pairs(df, self.numeric)) if len(self.numeric) >= 2 else None
+
+
 def full_profile(df: DataFrame) -> DataFrame:
     """The whole profile in long form (section, column, item, number, text).
 
-    Sections: stats, distribution, outliers, correlation, insight. The input is scanned several times; cache
-    it first when it is costly to produce.
+    Sections: stats, distribution, outliers, correlation, insight. Values are counted per column once; distinct
+    counts, top values, histograms, quartiles and outliers come from those counts.
     """
     none = F.lit(None)
-    stats = column_stats(df, samples=False)
+    parts = _Parts(df, samples=False)
     facts = ["non_null_count", "null_count", "null_pct", "unique_count", "min", "max", "mean", "std"]
     pairs: list[Column] = []
     for fact in facts:
         pairs += [F.lit(fact), F.col(fact).cast("double")]
-    long = stats.select("column", F.stack(F.lit(len(facts)), *pairs).alias("item", "number"))
+    long = parts.stats.select("column", F.stack(F.lit(len(facts)), *pairs).alias("item", "number"))
     long = long.where(F.col("number").isNotNull())
     result = _section(long, "stats", F.col("column"), F.col("item"), F.round("number", 4), none)
 
-    numeric = numeric_columns(df)
-    for c in numeric:
-        bins = histogram(df, c, 20)
-        part = _section(
-            bins, "distribution", F.lit(c), F.col("bin"), F.col("count"), F.col("bin_start")
-        )
+    if parts.numeric:
+        bins = counted_histograms(parts.numbers, 20)
+        part = _section(bins, "distribution", F.col("column"), F.col("bin"), F.col("count"), F.col("bin_start"))
         result = result.unionByName(part)
-    others = [c for c in df.columns if c not in numeric]
+    others = [c for c in df.columns if c not in parts.numeric]
     if others:
-        top = top_values(column_frequencies(df, others), 20)
+        top = top_values(parts.freq.where(F.col("column").isin(others)), 20)
         part = _section(top, "distribution", F.col("column"), F.col("rank"), F.col("n"), F.col("value"))
         result = result.unionByName(part)
-    if numeric:
-        out = iqr_outliers(df, numeric)
+    if parts.outliers is not None:
         fences = F.concat_ws("..", F.col("lower_fence"), F.col("upper_fence"))
-        part = _section(out, "outliers", F.col("column"), F.lit("count"), F.col("count"), fences)
+        part = _section(parts.outliers, "outliers", F.col("column"), F.lit("count"), F.col("count"), fences)
         result = result.unionByName(part)
-    if len(numeric) >= 2:
-        r = correlation_pairs(df, numeric)
+    if parts.pairs is not None:
         part = _section(
-            r, "correlation", F.col("col_a"), F.col("col_b"), F.col("correlation"), none
+            parts.pairs, "correlation", F.col("col_a"), F.col("col_b"), F.col("correlation"), none
         )
         result = result.unionByName(part)
-    found = insights(df)
     part = _section(
-        found, "insight", F.col("column"), F.col("type"), F.col("number"), F.col("severity")
+        _insights(parts), "insight", F.col("column"), F.col("type"), F.col("number"), F.col("severity")
     )
     return result.unionByName(part)
 
 
 def insights(df: DataFrame) -> DataFrame:
     """Findings (type, severity, column, number) by fixed rules over the profile."""
-    stats = column_stats(df)
-    numeric = numeric_columns(df)
+    return _insights(_Parts(df, samples=False))
+
+
+def _insights(parts: _Parts) -> DataFrame:
+    stats = parts.stats
 
     def rows(source: DataFrame, kind: str, severity: Column, column: Column, number: Column) -> DataFrame:
         return source.select(
@@ -220,31 +250,31 @@ def insights(df: DataFrame) -> DataFrame:
 
     unique = stats.where(
         (F.col("unique_count") == F.col("row_count"))
-        & ~F.col("column").isin(numeric)
+        & ~F.col("column").isin(parts.numeric)
         & (F.col("row_count") > 0)
     )
     found = found.unionByName(
         rows(unique, "high_cardinality", F.lit("info"), F.col("column"), F.col("unique_count"))
     )
-    if len(numeric) >= 2:
-        strong = correlation_pairs(df, numeric).limit(3).where(F.abs("correlation") >= 0.8)
+    if parts.pairs is not None:
+        first = parts.pairs.orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(3)
+        strong = first.where(F.abs("correlation") >= 0.8)
         pair = F.concat_ws(",", "col_a", "col_b")
         found = found.unionByName(
             rows(strong, "correlation", F.lit("info"), pair, F.col("correlation"))
         )
-    if numeric:
-        out = iqr_outliers(df, numeric).where(F.col("pct") >= 5)
+    if parts.outliers is not None:
+        out = parts.outliers.where(F.col("pct") >= 5)
         found = found.unionByName(
             rows(out, "outliers", F.lit("warning"), F.col("column"), F.col("count"))
         )
-    copies = duplicate_count(df).where(F.col("duplicate_count") > 0)
+    copies = duplicate_count(parts.df).where(F.col("duplicate_count") > 0)
     found = found.unionByName(
         rows(copies, "duplicates", F.lit("warning"), F.lit("*"), F.col("duplicate_count"))
     )
-    texts = text_columns(df)
-    if texts:
+    if parts.texts:
         # One row per column of the table.
-        facts = F.broadcast(text_facts(df, texts))
+        facts = F.broadcast(counted_text_facts(parts.freq, parts.texts))
         dates = stats.join(facts, "column").where(F.col("date_share") >= DATE_SHARE)
         found = found.unionByName(
             rows(dates, "date_column", F.lit("info"), F.col("column"), F.lit(None))
