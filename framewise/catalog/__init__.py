@@ -1,6 +1,7 @@
 """Registered queries with their SQL counterparts."""
 
 from framewise.catalog import (  # noqa: F401  (each module registers its queries)
+    exact,
     grouping,
     models,
     monitoring,

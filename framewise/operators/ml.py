@@ -6,6 +6,7 @@ import json
 import random
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,6 +26,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from framewise.functions.columns import field_type, is_numeric, ladder, ref, require_columns
 from framewise.functions.quantiles import group_percentiles
@@ -65,6 +67,8 @@ BOOSTING_GRID = {
     "subsample": [0.8, 1.0],
 }
 LOGISTIC_GRID = {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "max_iter": [500, 1000, 2000]}
+# Folds fitted at a time.
+PARALLEL_FOLDS = 4
 # Spark trees have a depth of at most 30; an unlimited depth means this.
 UNLIMITED_DEPTH = 30
 
@@ -604,20 +608,25 @@ def cross_validate(
         raise ValueError("Folds need two rows or more")
     by_class = target if problem_type == "classification" else None
     folded = _fold_rows(rows, key, k, by_class).persist()
+
+    def score(fold: int) -> float:
+        fit_rows = folded.where(F.col("fold") != fold)
+        stats = fit_stats(fit_rows, features, target, problem_type)
+        model = _fit(_prepared(fit_rows, stats).select("features", "label"), stats, algorithm, params or {})
+        held = _prepared(folded.where(F.col("fold") == fold), stats)
+        scored = model.transform(held.where(F.col("label").isNotNull()))
+        judge = (
+            RegressionEvaluator(metricName="r2")
+            if problem_type == "regression"
+            else MulticlassClassificationEvaluator(metricName="f1")
+        )
+        return float(judge.evaluate(scored))
+
     try:
-        scores = []
-        for fold in range(k):
-            fit_rows = folded.where(F.col("fold") != fold)
-            stats = fit_stats(fit_rows, features, target, problem_type)
-            model = _fit(_prepared(fit_rows, stats).select("features", "label"), stats, algorithm, params or {})
-            held = _prepared(folded.where(F.col("fold") == fold), stats)
-            scored = model.transform(held.where(F.col("label").isNotNull()))
-            judge = (
-                RegressionEvaluator(metricName="r2")
-                if problem_type == "regression"
-                else MulticlassClassificationEvaluator(metricName="f1")
-            )
-            scores.append(float(judge.evaluate(scored)))
+        folded.count()
+        # The folds' jobs are independent: Spark runs several at a time.
+        with ThreadPoolExecutor(PARALLEL_FOLDS) as pool:
+            scores = list(pool.map(inheritable_thread_target(df.sparkSession)(score), range(k)))
     finally:
         folded.unpersist()
     mean, std = float(np.mean(scores)), float(np.std(scores))
