@@ -266,6 +266,34 @@ register(
       'o_orderpriority' AS feature_columns_missing, false AS compatible, count(*) AS row_count FROM orders""",
 )
 
+
+
+def _new_orders(t: Tables):
+    """Orders of the even keys with another type, gaps, a new column and one column less."""
+    return t.orders.where(F.col("o_orderkey") % 2 == 0).select(
+        "o_orderkey",
+        "o_custkey",
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        "o_orderdate",
+        F.when(F.col("o_custkey") % 3 == 0, F.lit("x")).alias("o_clerk"),
+    )
+
+
+register(
+    "table_comparison",
+    lambda t: sources.compare_tables(t.orders, _new_orders(t)),
+    """WITH o AS (SELECT count(*) AS n FROM orders), e AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
+    m AS (SELECT count(*) AS n, round(count(*) FILTER (o_orderkey % 4 <> 0) * 100.0 / count(*), 2) AS s,
+      round(count(*) FILTER (o_custkey % 3 <> 0) * 100.0 / count(*), 2) AS c FROM e),
+    v(name, status, differs, a, b) AS (VALUES ('o_orderkey', 'kept', false, 'bigint', 'bigint'), ('o_custkey', 'kept', false, 'bigint', 'bigint'),
+      ('o_orderstatus', 'kept', false, 'string', 'string'), ('o_totalprice', 'kept', true, 'double', 'string'),
+      ('o_orderdate', 'kept', false, 'timestamp_ntz', 'timestamp_ntz'), ('o_orderpriority', 'removed', false, 'string', NULL), ('o_clerk', 'added', false, NULL, 'string'))
+    SELECT name AS "column", status, differs AS type_differs, a AS old_type, b AS new_type, CASE WHEN a IS NOT NULL THEN 0.0::DOUBLE END AS old_missing_pct,
+      (CASE name WHEN 'o_orderstatus' THEN s WHEN 'o_clerk' THEN c ELSE CASE WHEN b IS NOT NULL THEN 0.0 END END)::DOUBLE AS new_missing_pct,
+      CASE WHEN a IS NOT NULL THEN o.n END AS old_rows, CASE WHEN b IS NOT NULL THEN m.n END AS new_rows FROM v, o, m""",
+)
+
 # --- joins ------------------------------------------------------------------------------------
 
 

@@ -234,10 +234,12 @@ def anomaly_scores(
     pool_rate = min(1.0, 2.0 * TREES * TREE_ROWS / max(counts["n"], 1))
     pool = filled.where(fraction(F.lit(seed)) < pool_rate).select("_x", *[ref(k) for k in key])
     tree_rate = min(1.0, 2.0 * TREE_ROWS / max(counts["n"] * pool_rate, 1))
-    trees = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    trees = trees.withColumn("_u", fraction(F.lit(seed + 1), F.col("tree")))
+    # A row leaves copies for the trees that take it alone.
+    every = F.sequence(F.lit(0), F.lit(TREES - 1))
+    taken = F.filter(every, lambda tree: fraction(F.lit(seed + 1), tree) < tree_rate)
+    trees = pool.withColumn("tree", F.explode(taken)).withColumn("_u", fraction(F.lit(seed + 1), F.col("tree")))
     order = Window.partitionBy("tree").orderBy("_u", *[ref(k) for k in key])
-    sample = trees.where(F.col("_u") < tree_rate).withColumn("_r", F.row_number().over(order))
+    sample = trees.withColumn("_r", F.row_number().over(order))
     sample = sample.where(F.col("_r") <= TREE_ROWS).select("tree", "_x")
 
     def grow(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:

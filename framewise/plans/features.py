@@ -35,17 +35,19 @@ def _apply(df: DataFrame, step: Step) -> DataFrame:
 
 
 def apply_transforms(
-    df: DataFrame, steps: Sequence[Step]
+    df: DataFrame, steps: Sequence[Step], skipped: dict[int, str] | None = None
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """Run the steps in order; returns the table and, per source, the columns its step made.
 
-    A step that cannot run is left out of the table and of the mapping.
+    A step that cannot run is left out of the table and of the mapping; ``skipped`` gets its place and the reason.
     """
     made: dict[str, list[str]] = {}
-    for step in steps:
+    for place, step in enumerate(steps):
         try:
             after = _apply(df, step)
-        except (ValueError, KeyError, AnalysisException):
+        except (ValueError, KeyError, AnalysisException) as reason:
+            if skipped is not None:
+                skipped[place] = str(reason)
             continue
         made[step["column"]] = [c for c in after.columns if c not in df.columns]
         df = after

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.functions.columns import normalize_missing
+from framewise.functions.columns import clean_float, normalize_missing, ref
 from framewise.operators.relational import apply_filter
 
 FORMATS = ("csv", "parquet", "json", "orc")
@@ -86,6 +86,32 @@ def schema_diff(
     return spark.createDataFrame([(added, removed, missing, not missing)], schema)
 
 
+def compare_tables(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A row per column of either table: column, status (added, removed or kept), types, whether the type differs, missing
+    share and rows on both sides. Each table is read once; missing includes NaN and infinities."""
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        rows = F.count(F.lit(1))
+        known = [F.count(clean_float(ref(f.name), f.dataType)).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
+        structs = [
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias(f"{tag}_type"),
+                F.round(F.try_divide((F.col("_rows") - F.col(f"k{i}")) * 100, F.col("_rows")), 2).alias(f"{tag}_missing_pct"),
+                F.col("_rows").alias(f"{tag}_rows"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+        return df.agg(rows.alias("_rows"), *known).select(F.inline(F.array(*structs)))
+
+    # A row per column on both sides.
+    both = side(old, "old").join(side(new, "new"), "column", "full")
+    status = F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed").otherwise("kept")
+    differs = F.coalesce(F.col("old_type") != F.col("new_type"), F.lit(False))
+    facts = ("old_type", "new_type", "old_missing_pct", "new_missing_pct", "old_rows", "new_rows")
+    return both.select("column", status.alias("status"), differs.alias("type_differs"), *facts).orderBy("column")
+
+
 def refresh_table(
     new: DataFrame,
     path: str,

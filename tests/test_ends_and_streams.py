@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from framewise.functions import ends
 from framewise.operators import monitoring
+from framewise.plans import features as plan
+from framewise.sources import tables
 from framewise.streaming import drift as streaming
 
 START = dt.datetime(2024, 1, 1)
@@ -129,3 +131,27 @@ def test_idle_deployments_and_drift_become_alerts(spark, tmp_path):
     found = {(r["deployment_id"], r["algorithm"], r["severity"], r["type"]) for r in spark.read.parquet(f"{folder}/out/*/*").collect()}
     assert ("quiet", "model", "warning", "no_predictions") in found and ("busy", "m", "critical", "drift_detected") in found
     assert not any(r[0] == "off" for r in found)
+
+
+# -- tables and steps -------------------------------------------------------------------------
+
+
+def test_tables_of_other_types_gaps_and_no_rows(spark):
+    old = spark.createDataFrame([(1, 1.0, "a"), (2, float("nan"), None)], "id int, x double, s string")
+    new = spark.createDataFrame([(1, "a", None)], "id long, s string, y double")
+    got = {r["column"]: tuple(r)[1:] for r in tables.compare_tables(old, new).collect()}
+    assert got == {
+        "id": ("kept", True, "int", "bigint", 0.0, 0.0, 2, 1),
+        "s": ("kept", False, "string", "string", 50.0, 0.0, 2, 1),
+        "x": ("removed", False, "double", None, 50.0, None, 2, None),
+        "y": ("added", False, None, "double", None, 100.0, None, 1),
+    }
+    empty = {r["column"]: (r["new_missing_pct"], r["new_rows"]) for r in tables.compare_tables(old, new.limit(0)).collect()}
+    assert empty["id"] == (None, 0)
+
+
+def test_skipped_steps_say_why(spark):
+    df = spark.createDataFrame([(1.0, "a")], "x double, s string")
+    skipped = {}
+    _, made = plan.apply_transforms(df, [{"column": "x", "transform_type": "no_such"}, {"column": "x", "transform_type": "log_transform"}], skipped)
+    assert list(made) == ["x"] and list(skipped) == [0] and "no_such" in skipped[0]
