@@ -32,6 +32,7 @@ from framewise.functions.columns import field_type, is_numeric, ladder, ref, req
 from framewise.functions.quantiles import group_percentiles
 from framewise.functions.scale import broadcast_if_small, freeze, row_positions, spread
 from framewise.operators.aggregates import unpivot_numeric
+from framewise.operators.network import NetworkRegressor
 from framewise.operators.validation import classification_metrics, regression_metrics
 
 MISSING = "MISSING"
@@ -45,6 +46,7 @@ REGRESSION = (
     "gradient_boosting_regressor",
     "xgboost_regressor",
     "lightgbm_regressor",
+    "neural_network_regressor",
 )
 CLASSIFICATION = (
     "logistic_regression",
@@ -241,6 +243,8 @@ def estimator(algorithm: str, n_features: int, n_classes: int, params: dict[str,
         )
         scale = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
         return Pipeline(stages=[scale, net])
+    if algorithm == "neural_network_regressor":
+        return NetworkRegressor(rounds=int(p.get("rounds", 25)), seed=p["seed"])
     boosting = {
         "maxIter": int(p.get("n_estimators", 100)),
         "maxDepth": depth,
