@@ -90,7 +90,7 @@ for _algorithm, _rule in (("random_forest_classifier", _STEP), ("gradient_boosti
 def _network(t: Tables):
     wave = F.sin(F.col("c_acctbal") / 2_000) * 3 + F.col("c_nationkey") / 10
     rows = t.customer.withColumn("wave", wave)
-    trained = ml.train(rows, "neural_network_regressor", ["c_acctbal", "c_nationkey"], "wave", ["c_custkey"])
+    trained = ml.train(rows, "mlp_regressor", ["c_acctbal", "c_nationkey"], "wave", ["c_custkey"])
     runs = ml.model_runs(t.nation.sparkSession, [trained])
     return runs.select("algorithm", (F.col("r2") > 0.95).alias("fits"), (F.col("train_size") + F.col("test_size")).alias("rows"))
 
@@ -98,7 +98,7 @@ def _network(t: Tables):
 register(
     "train_network_regressor",
     _network,
-    "SELECT 'neural_network_regressor' AS algorithm, true AS fits, count(*) AS rows FROM customer",
+    "SELECT 'mlp_regressor' AS algorithm, true AS fits, count(*) AS rows FROM customer",
 )
 
 

@@ -14,7 +14,7 @@ def waves(spark):
 
 
 def test_network_learns_a_smooth_target(spark, waves, tmp_path):
-    trained = ml.train(waves, "neural_network_regressor", ["a", "b", "c"], "y", ["id"])
+    trained = ml.train(waves, "mlp_regressor", ["a", "b", "c"], "y", ["id"])
     assert trained.metrics["r2"] > 0.95
     scoring.save_model(trained, str(tmp_path / "model"))
     again = scoring.load_model(spark, str(tmp_path / "model"))
@@ -37,5 +37,5 @@ def test_gradient_equals_differences():
 
 def test_network_of_constant_columns_and_no_rows(spark):
     df = spark.createDataFrame([(i, 1.0, 5.0) for i in range(40)], "id long, a double, y double")
-    trained = ml.train(df, "neural_network_regressor", ["a"], "y", ["id"], params={"rounds": 2})
+    trained = ml.train(df, "mlp_regressor", ["a"], "y", ["id"], params={"rounds": 2})
     assert {round(r["prediction"], 2) for r in scoring.score_batch(df, trained).collect()} == {5.0}
