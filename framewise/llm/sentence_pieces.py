@@ -32,6 +32,8 @@ INDEX_BYTES = 1 << 18
 #: Bytes of segments and ids that a task keeps, about a third of what their objects take; the store is emptied when full
 #: and when the task ends, which changes no result.
 STORE_BYTES = 12_000_000
+#: Characters of texts whose segments are held at once; a longer text is taken alone.
+TEXT_CHARS = 1 << 20
 _START, _NONE = -2, -1
 _SLOT_BITS = 20
 _SEGMENT = re.compile(" +[^ ]*")
@@ -265,6 +267,16 @@ class PieceModel:
         return ["\x00" + head] * bool(head) + [s[1:] for s in _SEGMENT.findall(gap + rest)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        first = size = 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= TEXT_CHARS or k == len(texts) - 1:
+                out += self._encode(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.segments(t or "") for t in texts]
         wanted = sorted(set().union(*cut) - self._store.keys())
         if self._stored + sum(map(len, wanted)) > STORE_BYTES:
