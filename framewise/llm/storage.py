@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 ARROW_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 16 * 1024 * 1024
+_watchers: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="framewise-")
-    return f"{root.rstrip('/')}/framewise-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/framewise-{uuid.uuid4().hex}"
+    for made in _watchers:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that ``shared_folder`` names inside the block."""
+    made: list[str] = []
+    _watchers.append(made)
+    try:
+        yield made
+    finally:
+        _watchers[:] = [w for w in _watchers if w is not made]
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
