@@ -41,19 +41,21 @@ def clusters(
     Features are standardised. ``k`` is held in 2-8; without it the best mean silhouette over 2..8 decides.
     """
     features = _usable(df, columns)
-    rows = spread(df.dropna(subset=features))
+    rows = df.dropna(subset=features)
     n = rows.count()
     if n < MIN_ROWS:
         raise ValueError(f"Need at least {MIN_ROWS} complete rows for clustering (got {n})")
-    doubles = rows.select("*", *[ref(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    values = [ref(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
+    # Only the features are dealt out and kept: every round reads them again.
+    dealt = spread(rows.select(*values), n)
     prepare = Pipeline(
         stages=[
             VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
         ]
     )
-    standard = prepare.fit(doubles)
-    scaled = standard.transform(doubles).persist()
+    standard = prepare.fit(dealt)
+    scaled = standard.transform(dealt).select("_x").persist()
     try:
         top = min(MAX_CLUSTERS, n - 1)
 
@@ -79,7 +81,7 @@ def clusters(
         scaled.unpersist()
     order = {old: new for new, (old, _) in enumerate(sizes)}
     rename = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    labelled = model.transform(standard.transform(doubles))
+    labelled = model.transform(standard.transform(rows.select("*", *values)))
     return labelled.select(*[ref(c) for c in df.columns], rename[F.col("_c")].alias("cluster"))
 
 
