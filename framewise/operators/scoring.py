@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.functions.columns import ref
+from framewise.functions.scale import spread
 from framewise.operators.ml import (
     FeatureStats,
     TrainedModel,
@@ -24,13 +25,20 @@ from framewise.operators.ml import (
 from framewise.operators.validation import explain_rows
 
 MAX_SCENARIOS = 10
+# Scores that cost a few sums a row; others are dealt over all cores.
+CHEAP = ("linear_regression", "logistic_regression")
+
+
+def _dealt(df: DataFrame, trained: TrainedModel) -> DataFrame:
+    """The rows for scoring: a file may come in one split, too long for one task where each row runs down many trees."""
+    return df if trained.algorithm in CHEAP else spread(df, df.count())
 
 
 def score_batch(df: DataFrame, trained: TrainedModel) -> DataFrame:
     """All columns plus prediction, confidence (classification), 95 % band (regression) and unseen count."""
     stats = trained.stats
     names = [c for c in df.columns if c not in ("prediction", "confidence", "lower", "upper", "unseen")]
-    scored = trained.model.transform(encode(df, stats, keep_unseen=True))
+    scored = trained.model.transform(encode(_dealt(df, trained), stats, keep_unseen=True))
     shown = decoded(stats, F.col("prediction"))
     if stats.problem_type == "regression":
         half = 1.96 * stats.residual_std
@@ -55,7 +63,7 @@ def score_batch(df: DataFrame, trained: TrainedModel) -> DataFrame:
 
 def class_probabilities(df: DataFrame, trained: TrainedModel, key: Sequence[str]) -> DataFrame:
     """Long form (key, class, probability) of a probabilistic classifier."""
-    scored = trained.model.transform(encode(df, trained.stats))
+    scored = trained.model.transform(encode(_dealt(df, trained), trained.stats))
     shares = class_probabilities_of(scored)
     if shares is None:
         raise ValueError(f"'{trained.algorithm}' gives no class probabilities")
