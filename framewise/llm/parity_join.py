@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm.components import connected_components
-from framewise.llm.storage import arrow_batches, mapped, shared_folder, stored, texts
+from framewise.llm.storage import arrow_batches, mapped, shared_folder, shuffles_removed, stored, texts
 from framewise.llm.words import U64, mix, windows, word_runs
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -120,8 +120,8 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
 
-def set_signatures(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Per row of docs: set size, two words that identify the set, its sketch, and the keys of its parts.
+def set_signatures(docs: DataFrame, shingle: int, num: int, den: int, keys: bool = True) -> DataFrame:
+    """Per row of docs: set size, two words that identify the set, its sketch, and the keys of its parts if wanted.
 
     Keys are left out for a set that came before in the same Arrow batch, as its identity links it already.
     """
@@ -133,7 +133,7 @@ def set_signatures(docs: DataFrame, shingle: int, num: int, den: int) -> DataFra
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for s in shingle_sets(batch.column(1), shingle):
                 one, two = int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s + _SEED)))
-                new = len(s) and (len(s), one, two) not in seen
+                new = keys and len(s) and (len(s), one, two) not in seen
                 seen.add((len(s), one, two))
                 for column, x in zip(out, (len(s), one, two, _sketch(s), part_keys(s, bands) if new else none), strict=True):
                     column.append(x)
@@ -191,8 +191,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    folder, bands = shared_folder(spark), Bands(num, den)
-    signed = stored(set_signatures(docs, shingle, num, den), folder)
+    folder = shared_folder(spark)
+    with shuffles_removed(spark):
+        signed, parts = _signed_parts(docs, shingle, num, den, folder)
+    out = signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _signed_parts(docs: DataFrame, shingle: int, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored signatures, without keys, and the component of each linked node."""
+    bands = Bands(num, den)
+    # The keys take more room than the texts: they are made once more for their one exchange rather than stored.
+    signed = stored(set_signatures(docs, shingle, num, den, keys=False).drop("keys"), folder)
     identity = ["n_shingles", "id_a", "id_b"]
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = stored(real.groupBy(*identity).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), folder)
@@ -201,7 +211,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     same = links.select("a", "b").where(F.col("a") != F.col("b"))
 
     # Keys meet in one exchange that both sides of the join read; a group is live when it has two ids.
-    keyed = real.select(F.explode("keys").alias("key"), F.col("doc_id").alias("b")).repartition("key")
+    full = set_signatures(docs, shingle, num, den).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    keyed = full.select(F.explode("keys").alias("key"), F.col("doc_id").alias("b")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("key")
     live = stored(keyed.join(ends.hint("shuffle_hash"), "key"), folder)
     owner = links.select("b", "a").distinct()
@@ -229,8 +240,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         totals = counts.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c"))
         work = totals.agg(F.sum("p").alias("p"), F.sum("c").alias("c")).first()
         hubs = 0 if work["c"] is not None and work["p"] <= FULL * work["c"] else 8 * hubs
-    out = signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return signed, parts
 
 
 def _joined(parts: DataFrame, found: DataFrame, folder: str) -> DataFrame:
