@@ -68,3 +68,14 @@ def test_hash_ranks_agree_with_one_sort(spark, large_plans, by):
     assert ranked[0] == ranked[1]
     if not by:
         assert sorted(r["p"] for r in found.collect()) == list(range(3_000))
+
+
+def test_folds_of_a_small_file_lie_on_all_cores(spark, tmp_path, monkeypatch):
+    rows = one_split(spark, tmp_path, 1_000)
+    monkeypatch.setattr(ml, "DEALT_ROWS", 10)
+    seen = []
+    deal = scale.spread
+    monkeypatch.setattr(ml, "spread", lambda df, *n: seen.append(deal(df, *n)) or seen[-1])
+    scores = ml.cross_validate(rows, "linear_regression", ["x", "c"], "y", ["id"]).collect()
+    assert [r["score"] for r in scores] == [1.0] * 5
+    assert [d.rdd.getNumPartitions() for d in seen] == [spark.sparkContext.defaultParallelism] and "fold" in seen[0].columns
