@@ -25,6 +25,7 @@ read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +44,10 @@ SKETCH_BITS = 512
 BROADCAST_IDS = 2_000_000
 #: Groups are compared in full once that makes at most so many pairs for each of their rows.
 FULL = 200
+#: Identities of sets that a task remembers, to leave out the keys of copies.
+SEEN = 50_000
+#: Pairs whose texts are compared at a time, or an eighth of the rows if that is more.
+PORTION = 20_000
 _SEED = U64(0xA0761D6478BD642F)
 _ZERO = U64(0xE7037ED1A0B428DB)
 
@@ -123,13 +128,16 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
 def set_signatures(docs: DataFrame, shingle: int, num: int, den: int, keys: bool = True) -> DataFrame:
     """Per row of docs: set size, two words that identify the set, its sketch, and the keys of its parts if wanted.
 
-    Keys are left out for a set that came before in the same Arrow batch, as its identity links it already.
+    Keys are left out for a set that came before in the same task (it remembers about ``SEEN``), as its identity links it already; a row
+    whose keys do not count, such as one without doc_id, must therefore not be given with those whose keys do.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, none = Bands(num, den), np.zeros(0, U64)
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            seen: set[tuple[int, int, int]] = set()
+            if len(seen) > SEEN:
+                seen.clear()
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for s in shingle_sets(batch.column(1), shingle):
                 one, two = int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s + _SEED)))
@@ -146,6 +154,16 @@ def set_signatures(docs: DataFrame, shingle: int, num: int, den: int, keys: bool
     return mapped(texts(docs), sign, _SIGNATURE_SQL)
 
 
+def _similar_stored(pairs: DataFrame, docs: DataFrame, rows: int, shingle: int, num: int, den: int, folder: str) -> DataFrame:
+    """``_similar`` of stored pairs, portion by portion: a pair moves two texts, and the shuffle files of a portion, whose
+    texts take a quarter of all ``rows`` or less, go before the next one begins."""
+    portions = max(1, math.ceil(pairs.count() / max(PORTION, rows // 8)))
+    spot = F.pmod(F.xxhash64("a", "b"), F.lit(portions))
+    return reduce(
+        DataFrame.union, [stored(_similar(pairs.where(spot == i), docs, shingle, num, den), folder) for i in range(portions)]
+    )
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Of pairs (a, b), those whose texts' sets reach the threshold, counted exactly."""
 
@@ -203,6 +221,7 @@ def _signed_parts(docs: DataFrame, shingle: int, num: int, den: int, folder: str
     bands = Bands(num, den)
     # The keys take more room than the texts: they are made once more for their one exchange rather than stored.
     signed = stored(set_signatures(docs, shingle, num, den, keys=False).drop("keys"), folder)
+    rows = signed.count()
     identity = ["n_shingles", "id_a", "id_b"]
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = stored(real.groupBy(*identity).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), folder)
@@ -211,7 +230,7 @@ def _signed_parts(docs: DataFrame, shingle: int, num: int, den: int, folder: str
     same = links.select("a", "b").where(F.col("a") != F.col("b"))
 
     # Keys meet in one exchange that both sides of the join read; a group is live when it has two ids.
-    full = set_signatures(docs, shingle, num, den).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    full = set_signatures(docs.where(F.col("doc_id").isNotNull()), shingle, num, den).where(F.col("n_shingles") > 0)
     keyed = full.select(F.explode("keys").alias("key"), F.col("doc_id").alias("b")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("key")
     live = stored(keyed.join(ends.hint("shuffle_hash"), "key"), folder)
@@ -227,7 +246,7 @@ def _signed_parts(docs: DataFrame, shingle: int, num: int, den: int, folder: str
     while not members.isEmpty():
         ranked = members.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
         others = ranked.where(F.col("_rank") <= hubs).drop("_rank") if hubs else members
-        found = stored(_similar(stored(_close(members, others, bands), folder), docs, shingle, num, den), folder)
+        found = _similar_stored(stored(_close(members, others, bands), folder), docs, rows, shingle, num, den, folder)
         if first:
             parts, first = connected_components(parts.union(found), folder), False
         elif not found.isEmpty():

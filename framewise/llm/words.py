@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 U64 = np.uint64
 
 _SPACE = np.zeros(256, bool)
