@@ -9,8 +9,9 @@ most the size of the sets' symmetric difference. Linked sets of one size band di
 when sketches of the band have more than D parts, one part is equal (pigeonhole). A part is a bitmap wide enough
 that its shingles do not meet, kept as the XOR of one random word for each set bit. Sets emit a key for each part
 that is not zero; equal keys make candidates. A set with too few non-zero parts for the pigeonhole also emits its
-zero parts, which only another such set needs. Candidates pass the size bound, then the Hamming bound on a second
-sketch of 512 bits, then an exact count over whole texts.
+zero parts, which only another such set needs; as unrelated sets meet in zero parts, a band has enough parts to make such
+sets rare. Candidates pass the size bound, then the Hamming bound on a second sketch of 512 bits, then the same bound on
+a sketch as wide as the set asks for, then an exact count over whole texts.
 
 Texts with equal sets are one node from the start, and groups of equal keys with the same nodes are one group.
 Within a group the smallest node is compared with the others; groups whose nodes the links found so far do not
@@ -48,6 +49,8 @@ FULL = 200
 SEEN = 50_000
 #: Pairs whose texts are compared at a time, or an eighth of the rows if that is more.
 PORTION = 20_000
+#: Deviations by which the non-zero parts of a set pass the pigeonhole's number: one set in some 30,000 falls short.
+MARGIN = 4
 _SEED = U64(0xA0761D6478BD642F)
 _ZERO = U64(0xE7037ED1A0B428DB)
 
@@ -62,6 +65,23 @@ class Bands:
             starts.append(starts[-1] * den * den // (num * num) + 1)
         self.starts = np.array(starts, np.int64)
         self.most = [self.differences(hi + hi * den // num) for hi in (int(x) - 1 for x in starts[1:])]
+        self.parts = [self.enough(int(lo), most) for lo, most in zip(starts, self.most, strict=False)]
+
+    @staticmethod
+    def enough(least: int, most: int) -> int:
+        """Parts of a band whose smallest sets hold ``least`` shingles: more than ``most`` are not zero but in rare sets.
+
+        The number of non-zero parts is ``MARGIN`` deviations above ``most``, which takes at most as many parts as fit the shingles;
+        a band whose sets may hold no more than ``most`` shingles cannot have that.
+        """
+        parts = most + 1 + (most // 12 + 2 if most else 0)
+        while most and most < least and parts < 2 * least:
+            empty = math.exp(-least / parts)
+            spread = math.sqrt(parts * empty * max(0.0, 1 - (1 + least / parts) * empty))
+            if parts * (1 - empty) - MARGIN * spread > most:
+                break
+            parts += 1 + parts // 64
+        return parts
 
     def differences(self, sizes: int) -> int:
         """Largest symmetric difference of two linked sets whose sizes add up to ``sizes``."""
@@ -80,7 +100,7 @@ def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     words = mix(shingles ^ _SEED)
     for band in bands.of(len(shingles)):
         most = bands.most[band]
-        parts = most + 1 + (most // 12 + 2 if most else 0)
+        parts = bands.parts[band]
         part = ((shingles >> U64(32)) * U64(parts)) >> U64(32)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         value = np.bitwise_xor.reduceat(words, begin)
@@ -120,11 +140,23 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def _sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    odd = np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A sketch of two to four bits a shingle, a power of two, so that it refutes pairs of sets of any size."""
+    return _sketch(shingles, max(SKETCH_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+
+
+def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches, the wider one folded to the width of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def set_signatures(docs: DataFrame, shingle: int, num: int, den: int, keys: bool = True) -> DataFrame:
     """Per row of docs: set size, two words that identify the set, its sketch, and the keys of its parts if wanted.
 
@@ -155,8 +187,9 @@ def set_signatures(docs: DataFrame, shingle: int, num: int, den: int, keys: bool
 
 
 def _similar_stored(pairs: DataFrame, docs: DataFrame, rows: int, shingle: int, num: int, den: int, folder: str) -> DataFrame:
-    """``_similar`` of stored pairs, portion by portion: a pair moves two texts, and the shuffle files of a portion, whose
-    texts take a quarter of all ``rows`` or less, go before the next one begins."""
+    """``_similar`` of the stored pairs that wide sketches do not refute, portion by portion: a pair moves two texts, and the shuffle
+    files of a portion, whose texts take a quarter of all ``rows`` or less, go before the next one begins."""
+    pairs = stored(_unrefuted(pairs, docs, shingle, num, den, folder), folder)
     portions = max(1, math.ceil(pairs.count() / max(PORTION, rows // 8)))
     spot = F.pmod(F.xxhash64("a", "b"), F.lit(portions))
     return reduce(
@@ -164,6 +197,43 @@ def _similar_stored(pairs: DataFrame, docs: DataFrame, rows: int, shingle: int,
     )
 
 
+def _unrefuted(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, folder: str) -> DataFrame:
+    """Of pairs (a, b), those whose sets may reach the threshold by their sizes and wide sketches.
+
+    The sketches in the join's condition say nothing of sets that flip each of their bits; these grow with the set and take
+    about a twentieth of the texts' room.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("wide", pa.binary())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, wide = [], []
+            for s in shingle_sets(batch.column(1), shingle):
+                sizes.append(len(s))
+                wide.append(wide_sketch(s).tobytes())
+            columns = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, o, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 4)), batch.column(3), batch.column(5), strict=True):
+                apart = differing_bits(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64))
+                keep.append(min(n, o) * den >= max(n, o) * num and apart * (den + num) <= (n + o) * (den - num))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sketches = stored(mapped(_needed(pairs, docs), sign, "doc_id long, n long, wide binary"), folder)
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+    return mapped(joined, compare, "a long, b long").distinct()
+
+
+def _needed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of the documents in pairs."""
+    ids = stored_ids(pairs)
+    return texts(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Of pairs (a, b), those whose texts' sets reach the threshold, counted exactly."""
 
@@ -175,9 +245,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = stored_ids(pairs)
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    text = texts(docs).join(needed, "doc_id", "left_semi")
+    text = _needed(pairs, docs)
     side = lambda k: text.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return mapped(joined, count, "a long, b long").distinct()
